@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import leaks, tokens, topn
+from panelforge.llm import leaks, subjects, tokens, topn
 from panelforge.operators.latest import valid_rows
 from panelforge.sources import table
 
@@ -57,5 +57,17 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return p9_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p8_ids, p8_roundtrip, p9_found, p9_report)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The subjects of every document."""
+    codes = [r["subject"] for r in table(spark, folder, "subjects", "subject").where("subject is not null").distinct().orderBy("subject").collect()]
+    return subjects.assign(_documents(spark, folder), table(spark, folder, "subject_examples"), codes)
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and their characters by subject; a document of two subjects counts for both."""
+    sizes = table(spark, folder, "documents", "doc_id", "n_chars")
+    return p10_found(spark, folder).join(sizes, "doc_id").groupBy("subject").agg(F.count("*").alias("n_docs"), F.sum(F.col("n_chars").cast("bigint")).alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p8_ids, p8_roundtrip, p9_found, p9_report, p10_found, p10_composition)}
 SQL = {"p6_found": P6_SQL, "p8_roundtrip": P8_SQL}
