@@ -100,21 +100,24 @@ def fill_missing(df: DataFrame, targets: dict[str, str], model: KPrototypes, par
     """
     df = cut(df)
     marked = model.fit(df).assign(df)
-    marked = marked.withColumn("__parent", F.coalesce(F.col(parent).cast("string"), F.lit(""))).withColumn("__one", F.lit(1))
+    marked = marked.withColumn("__parent", F.coalesce(F.col(parent).cast("string"), F.lit("")))
+    marked = cut(marked)
     for column, how in targets.items():
         typed = dict(df.dtypes)[column]
-        for level, keys in (("cluster", ["cluster"]), ("parent_value", ["__parent"]), ("all", ["__one"])):
-            seen = marked.where(F.col(column).isNotNull())
+        seen = marked.where(F.col(column).isNotNull())
+        for level, keys in (("cluster", ["cluster"]), ("parent_value", ["__parent"]), ("all", [])):
             if how == "median":
                 told = seen.groupBy(*keys).agg(F.percentile_approx(column, 0.5, ACCURACY).alias(f"__{level}"), F.count("*").alias("seen"))
             else:
                 counts = seen.groupBy(*keys, column).agg(F.count("*").alias("n"))
                 told = counts.groupBy(*keys).agg(F.min_by(column, F.struct(-F.col("n"), F.col(column))).alias(f"__{level}"), F.sum("n").alias("seen"))
-            told = told.where(F.col("seen") >= (1 if level == "all" else least)).drop("seen")
-            # at most a row per prototype, per parent, or one
-            marked = marked.join(F.broadcast(told), keys, "left")
+            if keys:  # at most a row per prototype or per parent
+                marked = marked.join(F.broadcast(told.where(F.col("seen") >= least).drop("seen")), keys, "left")
+            else:
+                row = told.first()
+                marked = marked.withColumn("__all", F.lit(row["__all"] if row else None).cast(typed))
         method = F.when(F.col(column).isNotNull(), F.lit(None).cast("string")).when(F.col("__cluster").isNotNull(), "cluster").when(F.col("__parent_value").isNotNull(), "parent")
         method = method.when(F.col("__all").isNotNull(), "all").otherwise("none")
         value = F.coalesce(column, "__cluster", "__parent_value", "__all").cast(typed)
         marked = marked.withColumn(f"{column}_filled", value).withColumn(f"{column}_method", method).drop("__cluster", "__parent_value", "__all")
-    return marked.drop("__parent", "__one")
+    return marked.drop("__parent")
