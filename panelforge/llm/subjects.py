@@ -38,7 +38,7 @@ FEATURES, WIDTH = 1 << 15, 24
 #: Documents of the sample on which training goes on, and shards of the training rows.
 SAMPLE_DOCS, SHARDS = 6_000, 8
 #: Probability from which a sentence is on a subject, and share of such sentences that makes it a document's.
-ON, SHARE = 0.6, 0.28
+ON, SHARE = 0.5, 0.28
 #: Words of a sentence at least.
 WORDS = 4
 
@@ -152,7 +152,7 @@ def label(p: np.ndarray, silent: bool) -> np.ndarray | None:
     out = np.tile(around, (len(p), 1))
     if silent:
         out[best < 0.5] = 0
-    sure = best > 0.8
+    sure = (best > 0.8) & (around[top] >= 0.15)  # a remark of all subjects disagrees with most texts it is in
     out[sure] = 0
     out[sure, top[sure]] = 1
     return out
