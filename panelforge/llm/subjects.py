@@ -214,38 +214,56 @@ def train(documents: DataFrame, examples: DataFrame, subjects: list[str], sample
         teacher = spark.sparkContext.broadcast(weights)
         own = _example_rows(held, subjects, weights if turn else None)
         frame = spark.createDataFrame(pd.DataFrame([(i % shards, f, t) for i, (f, t) in enumerate(own * 3)], columns=["shard", "features", "target"]), ROWS)
-        data = cut(kept.mapInArrow(_sampled(teacher, turn > 0, shards), ROWS).unionByName(frame).repartition(shards, "shard"))
+        data = cut(kept.mapInArrow(_sampled(teacher, turn > 0, shards), ROWS).unionByName(frame).repartitionById(shards, F.col("shard")))
         weights = Weights(len(subjects), seed=turn + 1)
         for step in range(passes):
             weights = _synchronised(data, weights, turn * passes + step)
-        teacher.unpersist()
+        teacher.destroy()
     return weights
 
 
+def _shard_pass(shared, seed: int):
+    """One pass of a partition over its rows, from common weights; out come its steps."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, targets, shard = [], [], 0
+        for batch in batches:
+            if batch.num_rows:
+                shard = batch.column(0)[0].as_py()
+                rows += [np.asarray(x.values) for x in batch.column(1)]
+                targets.append(np.asarray(batch.column(2).flatten(), dtype=np.float32).reshape(batch.num_rows, -1))
+        if rows:
+            before = shared.value
+            after = before.copy()
+            after.train(rows, np.concatenate(targets), 1, seed * 1000 + shard)
+            steps = [(getattr(after, n) - getattr(before, n)).tobytes() for n in Weights.NAMES]
+            yield pa.RecordBatch.from_arrays([pa.array(Weights.NAMES), pa.array(steps, pa.binary())], names=["name", "step"])
+
+    return run
+
+
+def _averaged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The common step of one array of weights: summed step sizes, else the mean over the shards that moved a row."""
+    name = pdf["name"].iloc[0]
+    moves = [np.frombuffer(x, dtype=np.float32) for x in pdf["step"]]
+    total = np.sum(moves, axis=0)
+    if name == "embedding":
+        touched = np.sum([(m.reshape(FEATURES, WIDTH) != 0).any(axis=1) for m in moves], axis=0)
+        total = (total.reshape(FEATURES, WIDTH) / np.maximum(touched, 1)[:, None].astype(np.float32)).ravel()
+    elif not name.endswith("_steps"):
+        total = total / np.float32(len(moves))
+    return pd.DataFrame({"name": [name], "step": [total.astype(np.float32).tobytes()]})
+
+
 def _synchronised(data: DataFrame, weights: Weights, seed: int) -> Weights:
     """One pass of every shard from common weights, and the mean of their steps."""
     shared = data.sparkSession.sparkContext.broadcast(weights)
-
-    def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        before = shared.value
-        after = before.copy()
-        targets = np.stack(pdf["target"].to_list()).astype(np.float32)
-        after.train([np.asarray(f) for f in pdf["features"]], targets, 1, seed * 1000 + int(pdf["shard"].iloc[0]))
-        return pd.DataFrame({"name": list(Weights.NAMES), "step": [(getattr(after, n) - getattr(before, n)).tobytes() for n in Weights.NAMES]})
-
-    steps = data.groupBy("shard").applyInPandas(own, "name string, step binary").collect()  # SHARDS times the model
+    steps = data.mapInArrow(_shard_pass(shared, seed), "name string, step binary").groupBy("name").applyInPandas(_averaged, "name string, step binary").collect()  # one model's size
     out = weights.copy()
-    for name in Weights.NAMES:
-        base = getattr(weights, name)
-        moves = np.stack([np.frombuffer(r["step"], dtype=np.float32).reshape(base.shape) for r in steps if r["name"] == name])
-        if name.endswith("_steps"):
-            getattr(out, name)[:] = base + moves.sum(axis=0)
-        elif name == "embedding":
-            touched = (moves != 0).any(axis=2).sum(axis=0)
-            out.embedding[:] = base + moves.sum(axis=0) / np.maximum(touched, 1)[:, None]
-        else:
-            getattr(out, name)[:] = base + moves.mean(axis=0)
-    shared.unpersist()
+    for row in steps:
+        base = getattr(out, row["name"])
+        base += np.frombuffer(row["step"], dtype=np.float32).reshape(base.shape)
+    shared.destroy()
     return out
 
 
