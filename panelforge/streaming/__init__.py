@@ -1 +1 @@
-
+"""Structured Streaming forms of counts, sessions and the trigger."""
