@@ -130,7 +130,7 @@ def d10_contingency(spark, folder):
 
 # the universe and what is held ---------------------------------------------------------------------
 def _universe(spark, folder):
-    p = views.asset_panel(spark, folder)
+    p = views.asset_panel(spark, folder).persist()  # assets by weeks, read by every branch below
     members = p.select("permno").distinct().select("permno", F.lit("1990-01-01").cast("date").alias("mbrstartdt"), F.lit("2030-01-01").cast("date").alias("mbrenddt"))
     marks = universe.rebalances(p.select("pos", "date").distinct(), LOW, HIGH, views.EVERY)
     return p, members, marks
@@ -138,7 +138,7 @@ def _universe(spark, folder):
 
 def _snapshot(spark, folder):
     p, members, marks = _universe(spark, folder)
-    return p, marks, universe.snapshots(p, members, marks, RULE)
+    return p, marks, universe.snapshots(p, members, marks, RULE).persist()
 
 
 HELD = f"""{P}, marks as (select distinct pos, date from p where pos between {LOW} and {HIGH} and (pos - {LOW}) % {views.EVERY} = 0), names1 as (select distinct permno from p),
@@ -182,7 +182,7 @@ def _daily(spark, folder):
     p, marks, snap = _snapshot(spark, folder)
     even = allocation.equal_weights(snap.select("pos", "permno"), ["pos"]).select(F.lit("even").alias("strategy"), "pos", "permno", "w")
     tilt = allocation.tilted_weights(snap.select("pos", F.col("permno").alias("i"), F.col("cap").alias("fwd")), ["pos"], 0.5).select(F.lit("tilt").alias("strategy"), "pos", F.col("i").alias("permno"), "w")
-    weights = even.unionByName(tilt)
+    weights = even.unionByName(tilt).persist()
     every = marks.select("pos").join(F.broadcast(spark.createDataFrame([("even",), ("tilt",)], "strategy string")), F.lit(True))
     rates = p.select("pos").distinct().withColumn("rf", F.lit(0.02 / views.YEAR))
     daily, moves = backtest.run(weights, every, p, rates, ["strategy"], lag=1, last=356, bps=10.0)
