@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from panelforge.llm.words import Hasher, grams, winnow, words
+from panelforge.llm.words import Hasher, grams, spread, winnow, words
 
 GRAM, WINDOW = 4, 3
 #: Fingerprints of evaluation passages in a broadcast block, 24 bytes each.
@@ -191,9 +191,9 @@ def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFra
             held = 0
         blocks[-1].append((row["item_id"], tokens))
         held += len(tokens)
-    out = None
+    out, documents = None, spread(documents.select("doc_id", "text"))
     for part in blocks:
         shared = spark.sparkContext.broadcast(Block(part))
-        found = documents.select("doc_id", "text").mapInArrow(_kernel(shared), "doc_id bigint, item_id bigint, share double")
+        found = documents.mapInArrow(_kernel(shared), "doc_id bigint, item_id bigint, share double")
         out = found if out is None else out.unionByName(found)
     return out

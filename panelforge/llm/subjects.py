@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.words import plain
+from panelforge.llm.words import plain, spread
 from panelforge.session import cut
 
 #: Hashed features, and numbers of an embedding.
@@ -301,4 +301,4 @@ def assign(documents: DataFrame, examples: DataFrame, subjects: list[str], weigh
     """
     weights = train(documents, examples, subjects) if weights is None else weights
     shared = documents.sparkSession.sparkContext.broadcast(weights)
-    return documents.select("doc_id", "text").mapInArrow(_scoring(shared, subjects), "doc_id bigint, subject string")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_scoring(shared, subjects), "doc_id bigint, subject string")

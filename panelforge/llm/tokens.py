@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from panelforge.llm.words import spread
+
 FOLDER = "/opt/tokenizers"
 #: Fixed value: the public pattern by which the vocabulary's texts are cut.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -140,10 +142,10 @@ def encode_corpus(documents: DataFrame, path: str = f"{FOLDER}/byte_bpe_50k.tikt
     rows are encoded each.
     """
     shared = documents.sparkSession.sparkContext.broadcast(load_ranks(path))
-    return documents.select("doc_id", "text").mapInArrow(_encoding(shared, False), "doc_id bigint, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_encoding(shared, False), "doc_id bigint, ids array<int>")
 
 
 def round_trip(documents: DataFrame, path: str = f"{FOLDER}/byte_bpe_50k.tiktoken") -> DataFrame:
     """doc_id and text of every document, encoded and decoded again; a null text comes back empty."""
     shared = documents.sparkSession.sparkContext.broadcast(load_ranks(path))
-    return documents.select("doc_id", "text").mapInArrow(_encoding(shared, True), "doc_id bigint, text string")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_encoding(shared, True), "doc_id bigint, text string")

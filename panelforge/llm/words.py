@@ -39,6 +39,12 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(plain(text)) if text else []
 
 
+def spread(documents):
+    """``documents`` over at least as many partitions as there are cores; moved only where a small scan has fewer."""
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    return documents.repartition(cores) if documents.rdd.getNumPartitions() < cores else documents
+
+
 class Hasher:
     """64-bit hashes of words, remembered up to a bound."""
 
