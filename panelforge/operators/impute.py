@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators.lookup import lookup_join
 from panelforge.session import cut
 
 #: Relative error of a median is one by this.
@@ -111,8 +112,8 @@ def fill_missing(df: DataFrame, targets: dict[str, str], model: KPrototypes, par
             else:
                 counts = seen.groupBy(*keys, column).agg(F.count("*").alias("n"))
                 told = counts.groupBy(*keys).agg(F.min_by(column, F.struct(-F.col("n"), F.col(column))).alias(f"__{level}"), F.sum("n").alias("seen"))
-            if keys:  # at most a row per prototype or per parent
-                marked = marked.join(F.broadcast(told.where(F.col("seen") >= least).drop("seen")), keys, "left")
+            if keys:  # a row per prototype or per parent
+                marked = lookup_join(marked, told.where(F.col("seen") >= least).drop("seen"), keys, "left")
             else:
                 row = told.first()
                 marked = marked.withColumn("__all", F.lit(row["__all"] if row else None).cast(typed))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.session import cut
+
 #: Rows up to which a lookup side is broadcast. The side is counted first.
 BROADCAST_ROWS = 400_000
 #: Copies of the lookup side, and parts of each key of the other, beyond that.
@@ -16,8 +18,10 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str =
 
     Up to ``rows`` counted rows the lookup is broadcast. Beyond, each key of
     the facts is spread over ``salts`` parts and the lookup is copied to each,
-    so that a key that holds a third of all facts is no single task.
+    so that a key that holds a third of all facts is no single task. The lookup
+    is cut from its lineage, so counting it does not compute it twice.
     """
+    lookup = cut(lookup)
     if lookup.count() <= rows:
         return facts.join(F.broadcast(lookup), keys, how)
     spread = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")

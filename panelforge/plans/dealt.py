@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import bitemporal, impute, orphans, rolling, spells, spikes
 from panelforge.operators.latest import valid_rows
+from panelforge.session import cut
 from panelforge.sources import table
 
 SAMPLE_END = "2024-12-31"
@@ -142,10 +143,11 @@ P4_REPORT_SQL = f"select tab, period, reason, count(*) as n_rows from ({P4_SQL})
 
 def _as_known(spark: SparkSession, folder: str) -> DataFrame:
     dsf = table(spark, folder, "dsf", "obs_id", "permno", "date")
-    ends = dsf.agg(F.min(F.unix_date("date")), F.max(F.unix_date("date"))).first()
-    span = (ends[0], ends[1]) if ends[0] is not None else (0, 0)
     # a record matters only for securities that have rows; names holds many more
-    held = dsf.select("permno").distinct()
+    held = cut(dsf.groupBy("permno").agg(F.min(F.unix_date("date")).alias("first"), F.max(F.unix_date("date")).alias("last")))
+    ends = held.agg(F.min("first"), F.max("last")).first()
+    span = (ends[0], ends[1]) if ends[0] is not None else (0, 0)
+    held = held.select("permno")
     names = table(spark, folder, "names").join(held, "permno", "left_semi")
     spells_ = table(spark, folder, "membership").join(held, "permno", "left_semi")
     c = F.col
