@@ -31,7 +31,7 @@ STRATEGIES = {
     "MINVAR": ("minvar", "never"),
     "HRP_static": ("hrp", "never"),
     "HRP_periodic_3": ("hrp", "periodic:3"),
-    "RAC_HRP": ("hrp", "trigger"),
+    "HRP_trigger": ("hrp", "trigger"),
 }
 
 

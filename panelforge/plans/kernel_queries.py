@@ -147,7 +147,7 @@ def i42_frozen(spark, folder):
     return shared.groupBy().agg(F.min_by("k", "pos").alias("k"))
 
 
-def _strategies(spark, folder, estimator: str = "nls", names=("EW", "ERC", "MINVAR", "HRP_static", "HRP_periodic_3", "RAC_HRP")):
+def _strategies(spark, folder, estimator: str = "nls", names=("EW", "ERC", "MINVAR", "HRP_static", "HRP_periodic_3", "HRP_trigger")):
     p, marks, shared = _shared(spark, folder, estimator)
     shared = shared.persist()
     ar = estimation.absorption(shared, estimation.frozen_k(shared)).withColumn("run", F.lit(0))
@@ -216,14 +216,14 @@ def i60_environments(spark, folder):
 
 def i93_null_matrix(spark, folder):
     """Sharpe ratios of strategies on replications of the null environments."""
-    return replications.null_matrix(spark, _real(spark, folder), EIGHT, REPS, RULE, ("EW", "HRP_static", "RAC_HRP"))
+    return replications.null_matrix(spark, _real(spark, folder), EIGHT, REPS, RULE, ("EW", "HRP_static", "HRP_trigger"))
 
 
 def i95_gate(spark, folder):
     """Paired bounds of strategies against the triggered one, by environment, with activation."""
-    m = replications.null_matrix(spark, _real(spark, folder), EIGHT, REPS, RULE, ("EW", "HRP_static", "RAC_HRP")).persist()
-    focal = m.where("strategy = 'RAC_HRP'").select("environment", "rep", F.col("sharpe").alias("own"), "fired", "eligible")
-    d = m.where("strategy <> 'RAC_HRP'").join(focal.drop("fired", "eligible"), ["environment", "rep"]).select("environment", "strategy", "rep", (F.col("own") - F.col("sharpe")).alias("d"))
+    m = replications.null_matrix(spark, _real(spark, folder), EIGHT, REPS, RULE, ("EW", "HRP_static", "HRP_trigger")).persist()
+    focal = m.where("strategy = 'HRP_trigger'").select("environment", "rep", F.col("sharpe").alias("own"), "fired", "eligible")
+    d = m.where("strategy <> 'HRP_trigger'").join(focal.drop("fired", "eligible"), ["environment", "rep"]).select("environment", "strategy", "rep", (F.col("own") - F.col("sharpe")).alias("d"))
     bounds = inference.paired_bounds(d, ["environment", "strategy"], block_queries.MARGIN)
     active = focal.groupBy("environment").agg(F.median(F.col("fired") / F.col("eligible")).alias("rate"), F.avg((F.col("fired") >= 3).cast("double")).alias("active"))
     out = bounds.join(active, "environment")
@@ -390,7 +390,7 @@ def i92_sweep(spark, folder):
 
 def i97_mechanism(spark, folder):
     """Firing rates of the trigger by environment, with their 2.5 and 97.5 percent points."""
-    m = replications.null_matrix(spark, _real(spark, folder), EIGHT, REPS, RULE, ("RAC_HRP",), base=20270101)
+    m = replications.null_matrix(spark, _real(spark, folder), EIGHT, REPS, RULE, ("HRP_trigger",), base=20270101)
     rate = F.col("fired") / F.col("eligible")
     q = lambda p: F.percentile(rate, F.lit(p))
     return m.groupBy("environment").agg(F.count("*").alias("reps"), q(0.025).alias("low"), F.median(rate).alias("mid"), q(0.975).alias("high"))
