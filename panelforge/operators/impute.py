@@ -25,6 +25,8 @@ from panelforge.session import cut
 
 #: Relative error of a median is one by this.
 ACCURACY = 10_000
+#: Weight of a prototype's share in the distance to it.
+RARITY = 0.1
 
 
 class KPrototypes:
@@ -35,14 +37,20 @@ class KPrototypes:
         self.shift = self.scale = np.zeros(0)
         self.centres = np.zeros((0, len(numeric)))
         self.modes: list[tuple] = []
+        self.rarity = np.zeros(0)
 
     def assign(self, df: DataFrame, to: str = "cluster") -> DataFrame:
-        """``df`` with the nearest prototype of each row; ties go to the lowest number."""
+        """``df`` with the nearest prototype of each row; ties go to the lowest number.
+
+        What a record lacks it cannot tell prototypes apart by, so a small
+        term (RARITY times the log of a prototype's share) favours common ones.
+        """
         centres, modes, shift, scale, gamma, n = self.centres, self.modes, self.shift, self.scale, self.gamma, len(self.numeric)
+        rarity = self.rarity if len(self.rarity) == len(modes) else np.zeros(len(modes))
 
         def nearest(*columns: pd.Series) -> pd.Series:
             size = len(columns[0])
-            far = np.zeros((size, len(modes)))
+            far = np.tile(rarity, (size, 1))
             for i, column in enumerate(columns[:n]):
                 x = (column.to_numpy(dtype=float, na_value=np.nan) - shift[i]) / scale[i]
                 far += np.nan_to_num((x[:, None] - centres[None, :, i]) ** 2, nan=0.0)
@@ -57,7 +65,13 @@ class KPrototypes:
         return df.withColumn(to, F.pandas_udf(nearest, "int")(*columns))
 
     def fit(self, df: DataFrame) -> KPrototypes:
-        """Fit on all rows of ``df`` (cut from its lineage before, as it is read once a round)."""
+        """Fit on the rows of ``df`` that lack nothing, on all where there are none.
+
+        Else records would gather by what they lack. ``df`` is read once a
+        round, so it is cut from its lineage before.
+        """
+        whole = df.where(" and ".join(f"`{c}` is not null" for c in [*self.numeric, *self.categorical]))
+        df = df if whole.isEmpty() else whole
         stats = df.agg(*(f(c).alias(f"{c}_{n}") for c in self.numeric for n, f in (("m", F.avg), ("s", F.stddev_samp)))).first()
         self.shift = np.array([stats[f"{c}_m"] or 0.0 for c in self.numeric])
         self.scale = np.array([stats[f"{c}_s"] or 1.0 for c in self.numeric])
@@ -70,7 +84,10 @@ class KPrototypes:
         self.modes = [tuple(None if r[c] is None else str(r[c]) for c in self.categorical) for r in first]
         for _ in range(self.rounds):
             marked = self.assign(df).persist()
-            means = marked.groupBy("cluster").agg(*(F.avg(c).alias(c) for c in self.numeric)).collect()
+            means = marked.groupBy("cluster").agg(F.count("*").alias("__n"), *(F.avg(c).alias(c) for c in self.numeric)).collect()
+            total = sum(r["__n"] for r in means)
+            held = {r["cluster"]: r["__n"] / total for r in means}
+            rarity = np.array([-RARITY * np.log(held.get(c, 0.5 / total)) for c in range(len(self.modes))])
             centres, modes = self.centres.copy(), [list(m) for m in self.modes]
             for r in means:
                 for i, c in enumerate(self.numeric):
@@ -84,7 +101,7 @@ class KPrototypes:
                     modes[r["cluster"]][r["j"]] = r["v"]
             marked.unpersist()
             same = np.allclose(centres, self.centres) and [tuple(m) for m in modes] == self.modes
-            self.centres, self.modes = centres, [tuple(m) for m in modes]
+            self.centres, self.modes, self.rarity = centres, [tuple(m) for m in modes], rarity
             if same:
                 break
         return self

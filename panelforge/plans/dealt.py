@@ -63,12 +63,12 @@ def p2_filled(spark: SparkSession, folder: str) -> DataFrame:
     lag = F.datediff("recdt", "dlstdt")
     features = (
         sound.withColumn("kind", (F.col("dlstcd") / 100).cast("int").cast("string"))
-        .withColumn("loss", F.greatest(F.least("dlret", F.lit(1.0)), F.lit(-1.0)))
+        .withColumn("loss", F.when(F.col("dlret").isNotNull(), F.least("dlret", F.lit(1.0))))  # least() would skip a null
         .withColumn("sign", F.when(F.col("dlret") < -0.2, "loss").when(F.col("dlret").isNotNull(), "kept"))
         .withColumn("lag", F.when(lag >= 0, F.log1p(lag)))
         .withColumn("period", F.year("dlstdt").cast("double"))
     )
-    model = impute.KPrototypes(["loss", "lag", "period"], ["kind", "sign"], k=12)
+    model = impute.KPrototypes(["loss", "lag", "period"], ["kind", "sign"], k=16, gamma=6.0)
     parent = features.withColumn("parent", F.coalesce("kind", "sign"))
     out = impute.fill_missing(parent, {"dlret": "median", "dlstcd": "mode"}, model, "parent")
     return out.select("delist_id", "permno", text("dlstdt").alias("dlstdt"), "dlret_filled", "dlret_method", "dlstcd_filled", "dlstcd_method")

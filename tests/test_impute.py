@@ -38,3 +38,12 @@ def test_fallbacks(spark):
     none = spark.createDataFrame([(1, None, None, None, None, None)], KIND)
     assert [(r["x_method"], r["x_filled"]) for r in _fill(none).collect()] == [("none", None)]
     assert _fill(none.limit(0)).collect() == []
+
+
+def test_records_that_lack_a_feature_join_their_kind(spark):
+    """What a record lacks must not draw it to others that lack it too."""
+    rows = _rows(400)
+    rows = [(i, None if i % 10 in (0, 1) else x, y, k, c, n) for i, x, y, k, c, n in rows]
+    model = KPrototypes(["x", "y"], ["kind"], k=6, gamma=6.0)
+    got = fill_missing(spark.createDataFrame(rows, KIND), {"x": "median"}, model, "kind").where("x is null").collect()
+    assert all(r["x_method"] == "cluster" and (r["x_filled"] < -0.5) == (r["kind"] == "f") for r in got) and len(got) == 80
