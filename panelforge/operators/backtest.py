@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.session import cut
+
 
 def holding_windows(marks: DataFrame, by: list[str], lag: int, last: int) -> DataFrame:
     """Per rebalance the first and last position held: ``lag`` after it, to just before the next one's first."""
@@ -60,9 +62,9 @@ def run(weights: DataFrame, marks: DataFrame, panel: DataFrame, rates: DataFrame
     """
     last = panel.agg(F.max("pos")).first()[0] if last is None else last
     windows = holding_windows(marks, by, lag, last)
-    days = grown(weights, windows, panel, rates, by)
+    days = cut(grown(weights, windows, panel, rates, by))  # read for values, and again at the ends of segments
     values = portfolio_values(days, by)
-    moves = turnover(weights, windows, drifted(days, values, by), by, bps)
+    moves = cut(turnover(weights, windows, drifted(days, values, by), by, bps))
     net = values.join(moves, [*by, "pos"]).withColumn("net", F.when(F.col("day") == F.col("start"), (1 + F.col("gross")) * (1 - F.col("cost")) - 1).otherwise(F.col("gross")))
     return net.select(*by, "pos", "day", "gross", "net"), moves
 

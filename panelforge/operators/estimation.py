@@ -17,20 +17,36 @@ from panelforge.functions import linalg
 PASS = "pos bigint, n int, k int, variance double, ar double, cov_values array<double>, values array<double>, permnos array<bigint>, leaf array<int>, labels array<int>, cov array<double>, features array<double>"
 
 
+def series(panel: DataFrame) -> DataFrame:
+    """permno, first, x: each security's returns as one array over positions from its first, gaps as nulls."""
+    spans = panel.where("ret is not null").groupBy("permno").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    days = spans.withColumn("pos", F.explode(F.sequence("first", "last"))).join(panel.select("permno", "pos", "ret"), ["permno", "pos"], "left")
+    sorted_days = F.sort_array(F.collect_list(F.struct("pos", "ret")))
+    return days.groupBy("permno", "first").agg(F.transform(sorted_days, lambda d: d["ret"]).alias("x"))
+
+
 def windows(panel: DataFrame, held: DataFrame, window: int) -> DataFrame:
-    """pos, permno, t (0 the oldest), x: the returns up to each rebalance of what it holds."""
-    at = held.select("pos", "permno").withColumn("day", F.explode(F.sequence(F.col("pos") - window + 1, F.col("pos"))))
-    found = at.join(panel.select("permno", F.col("pos").alias("day"), "ret"), ["permno", "day"], "left")
-    return found.select("pos", "permno", (F.col("day") - F.col("pos") + window - 1).alias("t"), F.col("ret").alias("x"))
+    """pos, permno, x: an array of the ``window`` returns up to each rebalance of what it holds, gaps as nulls.
+
+    A security's returns move to a rebalance as one slice, not as rows.
+    """
+    all_series = series(panel)
+    low = F.col("pos") - window + 1 - F.col("first")  # where the window begins in the array, from 0
+    head = F.array_repeat(F.lit(None).cast("double"), F.greatest(F.lit(0), F.least(F.lit(window), -low)).cast("int"))
+    body = F.slice("x", F.greatest(F.lit(1), low + 1).cast("int"), F.greatest(F.lit(0), F.lit(window) + F.least(F.lit(0), low)).cast("int"))
+    return held.select("pos", "permno").join(all_series, "permno").select("pos", "permno", F.concat(head, body).alias("x"))
 
 
 def matrix(pdf: pd.DataFrame, window: int, least: int = 10, missing: float = 0.05) -> tuple[list[int], np.ndarray] | None:
-    """Assets and returns of one window; those lacking too much are out, missing cells are 0."""
-    wide = pdf.pivot_table(index="t", columns="permno", values="x", dropna=False).reindex(range(window))
-    wide = wide.loc[:, wide.notna().mean() >= 1 - missing]
-    if wide.shape[1] < least:
+    """Assets and returns of one window, ascending; those lacking too much are out, missing cells are 0."""
+    pdf = pdf.sort_values("permno")
+    x = np.full((window, len(pdf)), np.nan)
+    for j, own in enumerate(pdf["x"]):
+        x[: len(own), j] = np.asarray(own, dtype=float)
+    keep = np.isfinite(x).mean(axis=0) >= 1 - missing
+    if keep.sum() < least:
         return None
-    return [int(c) for c in wide.columns], wide.fillna(0.0).to_numpy(dtype=float)
+    return [int(c) for c in pdf["permno"].to_numpy()[keep]], np.nan_to_num(x[:, keep])
 
 
 def shared_pass(rows: DataFrame, window: int, estimator: str = "nls", k: int | None = None, clusters: tuple[int, int] = (2, 20), space: str = "pca") -> DataFrame:

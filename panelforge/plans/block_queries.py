@@ -9,6 +9,7 @@ from panelforge.functions.linalg import bisection_nodes, student_quantile
 from panelforge.operators import allocation, backtest, inference, moments, trigger, universe
 from panelforge.plans import views
 from panelforge.plans.views import P, TOTAL, block_sql
+from panelforge.session import cut
 from panelforge.sources import table
 
 ALPHA, N = 0.98, 13
@@ -130,7 +131,7 @@ def d10_contingency(spark, folder):
 
 # the universe and what is held ---------------------------------------------------------------------
 def _universe(spark, folder):
-    p = views.asset_panel(spark, folder).persist()  # assets by weeks, read by every branch below
+    p = cut(views.asset_panel(spark, folder))  # assets by weeks, read by every branch below
     members = p.select("permno").distinct().select("permno", F.lit("1990-01-01").cast("date").alias("mbrstartdt"), F.lit("2030-01-01").cast("date").alias("mbrenddt"))
     marks = universe.rebalances(p.select("pos", "date").distinct(), LOW, HIGH, views.EVERY)
     return p, members, marks
@@ -138,7 +139,7 @@ def _universe(spark, folder):
 
 def _snapshot(spark, folder):
     p, members, marks = _universe(spark, folder)
-    return p, marks, universe.snapshots(p, members, marks, RULE).persist()
+    return p, marks, cut(universe.snapshots(p, members, marks, RULE))
 
 
 HELD = f"""{P}, marks as (select distinct pos, date from p where pos between {LOW} and {HIGH} and (pos - {LOW}) % {views.EVERY} = 0), names1 as (select distinct permno from p),
@@ -182,8 +183,8 @@ def _daily(spark, folder):
     p, marks, snap = _snapshot(spark, folder)
     even = allocation.equal_weights(snap.select("pos", "permno"), ["pos"]).select(F.lit("even").alias("strategy"), "pos", "permno", "w")
     tilt = allocation.tilted_weights(snap.select("pos", F.col("permno").alias("i"), F.col("cap").alias("fwd")), ["pos"], 0.5).select(F.lit("tilt").alias("strategy"), "pos", F.col("i").alias("permno"), "w")
-    weights = even.unionByName(tilt).persist()
-    every = marks.select("pos").join(F.broadcast(spark.createDataFrame([("even",), ("tilt",)], "strategy string")), F.lit(True))
+    weights = cut(even.unionByName(tilt))
+    every = marks.select("pos").withColumn("strategy", F.explode(F.array(F.lit("even"), F.lit("tilt"))))
     rates = p.select("pos").distinct().withColumn("rf", F.lit(0.02 / views.YEAR))
     daily, moves = backtest.run(weights, every, p, rates, ["strategy"], lag=1, last=356, bps=10.0)
     return p, weights, daily.withColumn("rf", F.lit(0.02 / views.YEAR)), moves, every
@@ -437,10 +438,10 @@ def _structural(spark, folder):
     at = _quartiles(spark, folder).select("reb", "pos").distinct()
     mark = trigger.trigger_inputs(views.total_value(spark, folder), ["run"]).select("pos", trigger.fired(1.0).alias("fired"))
     rows = vi.join(at, "reb").join(mark, "pos")
-    return rows.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("reb")) - 1).cast("bigint").alias("t"), F.col("vi").alias("x"), "fired", F.lit(0).alias("run"))
+    return cut(rows.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("reb")) - 1).cast("bigint").alias("t"), F.round("vi", 9).alias("x"), "fired", F.lit(0).alias("run")))  # rounded, so that equal values stay equal
 
 
-STRUCT = f"{QUART}, lab as (select l.reb, e.label as a, l.label as b from qt l join qt e on e.permno = l.permno and e.reb = l.reb - 1), {_scores_sql('reb')}, {TRIG[TRIG.index('total as'):]}, st as (select row_number() over (order by reb) - 1 as t, vi as x, coalesce(abs(d) > sigma, false) as fired from (select reb, vi from scores where n >= 10) join (select distinct reb, pos from qt) using (reb) join tr using (pos))"
+STRUCT = f"{QUART}, lab as (select l.reb, e.label as a, l.label as b from qt l join qt e on e.permno = l.permno and e.reb = l.reb - 1), {_scores_sql('reb')}, {TRIG[TRIG.index('total as'):]}, st as (select row_number() over (order by reb) - 1 as t, round(vi, 9) as x, coalesce(abs(d) > sigma, false) as fired from (select reb, vi from scores where n >= 10) join (select distinct reb, pos from qt) using (reb) join tr using (pos))"
 
 
 def i71_shift(spark, folder):
@@ -547,11 +548,11 @@ I78 = "select round(median(rate), 9) as median_rate, round(avg(case when n >= 3
 
 
 def i79_spearman(spark, folder):
-    rows = _structural(spark, folder).join(views.total_value(spark, folder).select(F.col("pos").alias("t"), F.col("x").alias("y")), "t")
+    rows = _structural(spark, folder).join(views.total_value(spark, folder).select(F.col("pos").alias("t"), F.round("x", 6).alias("y")), "t")
     return _r(inference.spearman(rows, ["run"], "x", "y"), 8, "rho")
 
 
-I79 = f"with {STRUCT}, j as (select st.x, total.x as y from st join total on total.pos = st.t), rk as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as ra, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as rb from j) select 0 as run, round(corr(ra, rb), 8) as rho from rk"
+I79 = f"with {STRUCT}, j as (select st.x, round(total.x, 6) as y from st join total on total.pos = st.t), rk as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as ra, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as rb from j) select 0 as run, round(corr(ra, rb), 8) as rho from rk"
 
 
 def e11_average_rank(spark, folder):

@@ -12,6 +12,7 @@ from panelforge.operators import audit, backtest, estimation, inference, moments
 from panelforge.plans import block_queries, views
 from panelforge.plans.block_queries import TRIG, _snapshot, _triggers
 from panelforge.plans.views import P, TOTAL
+from panelforge.session import cut
 from panelforge.sources import sinks, table
 from panelforge.streaming import events as streams
 
@@ -82,7 +83,7 @@ def i25_spectrum(spark, folder):
 def i26_absorption(spark, folder):
     """The absorption ratio of every rebalance, components held from the first."""
     _, _, shared = _shared(spark, folder)
-    shared = shared.persist()
+    shared = cut(shared)
     return estimation.absorption(shared, estimation.frozen_k(shared))
 
 
@@ -149,11 +150,11 @@ def i42_frozen(spark, folder):
 
 def _strategies(spark, folder, estimator: str = "nls", names=("EW", "ERC", "MINVAR", "HRP_static", "HRP_periodic_3", "HRP_trigger")):
     p, marks, shared = _shared(spark, folder, estimator)
-    shared = shared.persist()
+    shared = cut(shared)
     ar = estimation.absorption(shared, estimation.frozen_k(shared)).withColumn("run", F.lit(0))
     inputs = trigger.trigger_inputs(ar, ["run"]).withColumn("fired", trigger.fired(1.0))
     chosen = {n: walk.STRATEGIES[n] for n in names}
-    weights = estimation.strategy_weights(shared, inputs, chosen).persist()
+    weights = cut(estimation.strategy_weights(shared, inputs, chosen))
     every = shared.select("pos").withColumn("strategy", F.explode(F.array(*map(F.lit, chosen))))
     rates = p.select("pos").distinct().withColumn("rf", F.lit(0.02 / views.YEAR))
     daily, moves = backtest.run(weights.select("strategy", "pos", "permno", "w"), every, p, rates, ["strategy"], last=356)
@@ -163,7 +164,7 @@ def _strategies(spark, folder, estimator: str = "nls", names=("EW", "ERC", "MINV
 def i43_ar_trigger(spark, folder):
     """The trigger on the absorption ratio."""
     _, _, shared = _shared(spark, folder)
-    shared = shared.persist()
+    shared = cut(shared)
     ar = estimation.absorption(shared, estimation.frozen_k(shared)).withColumn("run", F.lit(0))
     return trigger.trigger_inputs(ar, ["run"]).select("pos", "x", "d", "sigma", trigger.fired(1.0).alias("fired"))
 
@@ -324,7 +325,7 @@ def i85_bracket(spark, folder):
 def _structural_pass(spark, folder):
     """reb, pos, ar, vi: absorption and change of clusters at every rebalance."""
     _, _, shared = _shared(spark, folder)
-    shared = shared.persist()
+    shared = cut(shared)
     k = estimation.frozen_k(shared)
     order = Window.partitionBy(F.lit(0)).orderBy("pos")
     ar = estimation.absorption(shared, k).withColumn("reb", F.row_number().over(order))
@@ -371,13 +372,14 @@ def i89_selection(spark, folder):
     """The passing candidate nearest to 1, the larger of two; none where none passes."""
     c = i88_candidates(spark, folder)
     nearest = c.where("passes").orderBy(F.abs(F.col("gamma") - 1), F.desc("gamma")).limit(1)
-    return c.agg(F.count("*").alias("candidates"), F.sum(F.col("passes").cast("bigint")).alias("passing")).join(nearest.select("gamma"), F.lit(True), "left")
+    counts = c.agg(F.lit(0).alias("run"), F.count("*").alias("candidates"), F.sum(F.col("passes").cast("bigint")).alias("passing"))
+    return counts.join(nearest.select(F.pmod(F.col("gamma").cast("int"), F.lit(1)).alias("run"), "gamma"), "run", "left").drop("run")
 
 
 def i92_sweep(spark, folder):
     """Mean change of clusters by horizon, and mean absorption by components."""
     _, _, shared = _shared(spark, folder)
-    shared = shared.persist()
+    shared = cut(shared)
     ar, labels = _structural_pass(spark, folder)
     out = None
     for lag in (1, 2, 4, 8):

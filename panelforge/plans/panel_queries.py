@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators import panel, spells, universe
+from panelforge.session import cut
 from panelforge.sources import table
 
 END = "2024-12-31"
@@ -479,7 +480,7 @@ I01 = f"{WITH} select permno, pos, date, round(ret, 9) as ret, round(mcap, 4) as
 
 
 def _setting(spark, folder):
-    p = _panel(spark, folder).persist()
+    p = cut(_panel(spark, folder))
     member = spells.periods(panel.common_shares(_names(spark, folder)), ["permno"], F.col("namedt"), F.coalesce("nameendt", F.lit(END).cast("date")), tolerance=5)
     member = member.select("permno", F.col("startdt").alias("mbrstartdt"), F.col("enddt").alias("mbrenddt"))
     marks = universe.rebalances(_days(p), 250, 1700, RULE.every)
@@ -534,7 +535,7 @@ select mid, cast(min(w) as integer) as "window" from m, (values (12), (36), (104
 
 def i09_checks(spark, folder):
     """Reconstruction checks: each with what it measured and its status."""
-    p = _panel(spark, folder).persist()
+    p = cut(_panel(spark, folder))
     days = _days(p)
     member = table(spark, folder, "membership").where("mbrstartdt <= mbrenddt")
     ends = days.groupBy(F.last_day("date").alias("m")).agg(F.max("date").alias("date"))

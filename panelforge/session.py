@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and benches on one machine."""
+    """A session for tests and benches on one machine; kernels of small matrices want one thread each."""
+    for name in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS", "MKL_NUM_THREADS"):
+        os.environ.setdefault(name, "1")
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("panelforge")
