@@ -50,6 +50,9 @@ def alike(a: str, b: str) -> bool:
     most = 2 if min(m, n) >= 8 else 1 if min(m, n) >= 4 else 0
     if not most or abs(m - n) > most or a.isdigit() or b.isdigit():
         return False
+    x, y = set(a), set(b)
+    if len(x - y) > most or len(y - x) > most:  # an edit brings or takes one letter at most
+        return False
     before = list(range(n + 1))
     older = before
     for i, x in enumerate(a, 1):

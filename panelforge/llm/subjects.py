@@ -50,9 +50,9 @@ _WORD = re.compile(r"[^\W\d_]{2,}")
 def sentences(text: str | None) -> list[list[str]]:
     """The words of every sentence in prose; lines of code and tables have none."""
     out = []
-    for part in _SENTENCE.split(text or ""):
+    for part in _SENTENCE.split(plain(text) if text else ""):
         if not _CODE.search(part):
-            found = _WORD.findall(plain(part))
+            found = _WORD.findall(part)
             if len(found) >= WORDS:
                 out.append(found)
     return out

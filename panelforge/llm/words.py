@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import numpy as np
+import regex
 import xxhash
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
@@ -14,6 +15,7 @@ _ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{1,6}|#x[0-9A-Fa-f]{1,6});")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑­]\s*\n\s*(?=[^\W\d_])")
 _GROUPED = re.compile(r"(?<=\d)[,.'’   ](?=\d{3}(?!\d))")
 _WORD = re.compile(r"[^\W_]+")
+_MARKS = regex.compile(r"[\p{Mn}\p{Cf}\p{Me}]+")
 #: Letters of other alphabets that look like Latin ones.
 _ALIKE = str.maketrans("аеорсухіјѕԁһкмтвнзαεορτνικυχ", "aeopcyxijsdhkmtbh3aeoptvikux")
 
@@ -29,8 +31,7 @@ def plain(text: str) -> str:
         text = text.lower()
     else:
         text = unicodedata.normalize("NFKD", text).casefold()
-        text = "".join(c for c in text if c.isascii() or unicodedata.category(c) not in ("Mn", "Cf", "Me"))
-        text = text.translate(_ALIKE)
+        text = _MARKS.sub("", text).translate(_ALIKE)
     return _GROUPED.sub("", text)
 
 
