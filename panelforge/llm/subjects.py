@@ -118,23 +118,28 @@ class Scorer:
 
     def __init__(self, weights: Weights, bound: int = 100_000):
         self.weights, self.bound = weights, bound
-        self.known: dict[str, tuple[np.ndarray, int]] = {}
+        self.known: dict[str, int] = {}
+        self.sums = np.zeros((1024, WIDTH), dtype=np.float32)  # of each known word's features
+        self.counts = np.zeros(1024, dtype=np.float32)
+
+    def _row(self, word: str) -> int:
+        row = len(self.known)
+        if row == len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+        at = features(word)
+        self.sums[row], self.counts[row] = self.weights.embedding[at].sum(axis=0), len(at)
+        self.known[word] = row
+        return row
 
     def __call__(self, parts: list[list[str]]) -> np.ndarray:
-        known, embedding = self.known, self.weights.embedding
-        means = np.zeros((len(parts), WIDTH), dtype=np.float32)
-        for i, part in enumerate(parts):
-            total, count = np.zeros(WIDTH, dtype=np.float32), 0
-            for word in part:
-                held = known.get(word)
-                if held is None:
-                    if len(known) >= self.bound:
-                        known.clear()
-                    at = features(word)
-                    held = known[word] = (embedding[at].sum(axis=0), len(at))
-                total += held[0]
-                count += held[1]
-            means[i] = total / count
+        if len(self.known) >= self.bound:
+            self.known.clear()
+        known = self.known
+        rows = np.array([known[w] if w in known else self._row(w) for part in parts for w in part])
+        ends = np.cumsum([len(part) for part in parts])
+        starts = np.r_[0, ends[:-1]]
+        means = np.add.reduceat(self.sums[rows], starts, axis=0) / np.add.reduceat(self.counts[rows], starts)[:, None]
         return 1 / (1 + np.exp(-(means @ self.weights.output + self.weights.bias)))
 
 
