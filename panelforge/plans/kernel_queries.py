@@ -27,50 +27,49 @@ def _shared(spark: SparkSession, folder: str, estimator: str = "nls", space: str
     return p, marks, estimation.shared_pass(estimation.windows(p, snap, views.WINDOW), views.WINDOW, estimator, k, space=space)
 
 
-def _by_block(spark, folder, kernel, kind: str) -> DataFrame:
-    """A kernel on windows of a year of all assets, one group a year."""
-    x = views.matrix_block(spark, folder, low=1, size=350, assets=25).withColumn("part", F.floor(F.col("t") / 70).cast("int"))
+def _by_window(spark, folder, kernel, kind: str) -> DataFrame:
+    """A kernel on the window up to every rebalance, one group a rebalance; it is given the assets and their returns."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="t", columns="i", values="x").to_numpy(dtype=float)
-        return kernel(int(pdf["part"].iloc[0]), m)
+        m = pdf.pivot(index="t", columns="i", values="x")
+        return kernel(int(pdf["pos"].iloc[0]), m.columns.to_numpy(), m.to_numpy(dtype=float))
 
-    return x.groupBy("part").applyInPandas(one, kind)
+    return views.trailing_windows(spark, folder).groupBy("pos").applyInPandas(one, kind)
 
 
-PAIRS = "part int, i int, k int, s double"
+PAIRS = "pos bigint, i bigint, k bigint, s double"
 
 
-def _pairs(part: int, s: np.ndarray) -> pd.DataFrame:
+def _pairs(pos: int, assets: np.ndarray, s: np.ndarray) -> pd.DataFrame:
     i, k = np.indices(s.shape)
-    return pd.DataFrame({"part": part, "i": i.ravel() + 1, "k": k.ravel() + 1, "s": s.ravel()})
+    return pd.DataFrame({"pos": pos, "i": assets[i.ravel()], "k": assets[k.ravel()], "s": s.ravel()})
 
 
 def i13_nonlinear(spark, folder):
-    """Nonlinear shrinkage of each block's covariance."""
-    return _by_block(spark, folder, lambda part, m: _pairs(part, linalg.nonlinear_shrinkage(m)), PAIRS)
+    """Nonlinear shrinkage of each window's covariance."""
+    return _by_window(spark, folder, lambda pos, assets, m: _pairs(pos, assets, linalg.nonlinear_shrinkage(m)), PAIRS)
 
 
 def i22_pairwise(spark, folder):
     """The floored covariance over pairwise complete rows, some cells taken out."""
 
-    def kernel(part: int, m: np.ndarray) -> pd.DataFrame:
+    def kernel(pos: int, assets: np.ndarray, m: np.ndarray) -> pd.DataFrame:
         m = m.copy()
         m[np.add.outer(np.arange(m.shape[0]), 3 * np.arange(m.shape[1])) % 11 == 0] = np.nan
         f = linalg.pairwise_factor(m)
-        return _pairs(part, f @ f.T)
+        return _pairs(pos, assets, f @ f.T)
 
-    return _by_block(spark, folder, kernel, PAIRS)
+    return _by_window(spark, folder, kernel, PAIRS)
 
 
 def i24_bulk(spark, folder):
-    """Bulk variance, components kept and the noise edge of each block."""
+    """Bulk variance, components kept and the noise edge of each window."""
 
-    def kernel(part: int, m: np.ndarray) -> pd.DataFrame:
+    def kernel(pos: int, assets: np.ndarray, m: np.ndarray) -> pd.DataFrame:
         s = linalg.Spectrum(linalg.sample_covariance(m), len(m))
-        return pd.DataFrame([{"part": part, "variance": s.variance, "k": s.k, "edge": linalg.noise_edge(m.shape[1] / len(m), s.variance)}])
+        return pd.DataFrame([{"pos": pos, "variance": s.variance, "k": s.k, "edge": linalg.noise_edge(m.shape[1] / len(m), s.variance)}])
 
-    return _by_block(spark, folder, kernel, "part int, variance double, k int, edge double")
+    return _by_window(spark, folder, kernel, "pos bigint, variance double, k int, edge double")
 
 
 def i25_spectrum(spark, folder):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelforge.session import cut
 from panelforge.sources import table
 
 #: Periods: estimation window, rebalance step, lag of market values, least history, assets, purge and embargo, folds.
@@ -52,6 +53,17 @@ def matrix_block(spark: SparkSession, folder: str, low: int = 101, size: int = W
     return grid.join(held, ["t", "i"], "left").select("t", "i", F.coalesce("r", F.lit(0.0)).alias("x"))
 
 
+def trailing_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """pos, t (0 the oldest), i, x: the window up to every rebalance of all assets with a return in it, a missing one 0."""
+    p = cut(asset_panel(spark, folder))
+    marks = p.select("pos").distinct().where((F.col("pos") >= WINDOW) & ((F.col("pos") - WINDOW) % EVERY == 0))
+    step = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(WINDOW - 1).cast("bigint")))
+    at = marks.withColumn("t", step).withColumn("at", F.col("pos") - WINDOW + 1 + F.col("t"))
+    known = at.join(p.where("ret is not null").select(F.col("pos").alias("at"), F.col("permno").alias("i"), F.col("ret").alias("r")), "at").drop("at")
+    grid = known.select("pos", "i").distinct().withColumn("t", step)
+    return cut(grid.join(known, ["pos", "t", "i"], "left").select("pos", "t", "i", F.coalesce("r", F.lit(0.0)).alias("x")))
+
+
 def block_sql(low: int = 101, size: int = WINDOW, assets: int = 13) -> str:
     return f"""{P}, x as (select g.t, a.i, coalesce(p.ret, 0) as x from range({size}) g(t) cross join range(1, {assets + 1}) a(i) left join p on p.pos = g.t + {low} and p.permno = a.i)"""
 
