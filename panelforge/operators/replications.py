@@ -35,7 +35,7 @@ def grid(spark: SparkSession, names: list[str], reps: int, base: int) -> DataFra
     return g.select("x.environment", "rep", (F.lit(base) + 1000 * F.col("x.e") + F.col("rep")).cast("bigint").alias("seed"))
 
 
-def null_matrix(spark: SparkSession, real: np.ndarray, names: list[str], reps: int, rule: walk.Rule, strategies: tuple[str, ...], base: int = 20260101, partitions: int = 8) -> DataFrame:
+def null_matrix(spark: SparkSession, real: np.ndarray, names: list[str], reps: int, rule: walk.Rule, strategies: tuple[str, ...], base: int = 20260101, partitions: int = 48) -> DataFrame:
     """environment, rep, strategy, sharpe, turnover, refits, fired, eligible of every replication."""
     shared = spark.sparkContext.broadcast(real)
 

@@ -17,8 +17,11 @@ from panelforge.sources import sinks, table
 from panelforge.streaming import events as streams
 
 RULE = walk.Rule(window=views.WINDOW, every=views.EVERY, first=views.WINDOW)
-#: Replications of the queries; the reference values are parameters of the operators.
-REPS, DRAWS = 6, 10_000
+#: Replications of the null environments, placebo draws, placements, and replications and resamples of power and size: at least the reference's.
+REPS, DRAWS, PLACEMENTS = 500, 100_000, 10_000
+POWER_REPS, POWER_TIMES = 2000, 2000
+SIZE_SETS, SIZE_TIMES = 2000, [600, 2000, 10_000]
+RESAMPLES = 10_000
 EIGHT = ["gaussian", "shuffle", "timing", "regimes", "slow_regimes", "static"]
 
 
@@ -221,7 +224,7 @@ def i93_null_matrix(spark, folder):
 
 def i95_gate(spark, folder):
     """Paired bounds of strategies against the triggered one, by environment, with activation."""
-    m = replications.null_matrix(spark, _real(spark, folder), EIGHT, REPS, RULE, ("EW", "HRP_static", "HRP_trigger")).persist()
+    m = cut(replications.null_matrix(spark, _real(spark, folder), EIGHT, REPS, RULE, ("EW", "HRP_static", "HRP_trigger")))
     focal = m.where("strategy = 'HRP_trigger'").select("environment", "rep", F.col("sharpe").alias("own"), "fired", "eligible")
     d = m.where("strategy <> 'HRP_trigger'").join(focal.drop("fired", "eligible"), ["environment", "rep"]).select("environment", "strategy", "rep", (F.col("own") - F.col("sharpe")).alias("d"))
     bounds = inference.paired_bounds(d, ["environment", "strategy"], block_queries.MARGIN)
@@ -232,7 +235,7 @@ def i95_gate(spark, folder):
 
 def i96_contrast(spark, folder):
     """Static tree less equal risk in the regime environment: mean with its interval and a three-way verdict."""
-    m = replications.null_matrix(spark, _real(spark, folder), ["regimes"], 2 * REPS, RULE, ("ERC", "HRP_static")).persist()
+    m = cut(replications.null_matrix(spark, _real(spark, folder), ["regimes"], REPS, RULE, ("ERC", "HRP_static")))
     a, b = (m.where(F.col("strategy") == s).select("rep", F.col("sharpe").alias(c)) for s, c in (("HRP_static", "a"), ("ERC", "b")))
     d = a.join(b, "rep").select((F.col("a") - F.col("b")).alias("d"))
     s = d.agg(F.count("d").alias("n"), F.avg("d").alias("mean"), (F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("se"))
@@ -269,13 +272,13 @@ def i69_placebo(spark, folder):
 
 def i80_density(spark, folder):
     """Median and range of the modal gap share of random positions."""
-    return replications.modal_share(spark, 350, _counts(spark, folder), draws=2000)
+    return replications.modal_share(spark, 350, _counts(spark, folder), draws=PLACEMENTS)
 
 
 def i81_burstiness(spark, folder):
     """Modal share less that of as many random positions, and whether it lies outside their range."""
     timing = inference.timing_variation(_triggers(spark, folder), ["gamma"]).withColumn("events", (F.col("n_gaps") + 1).cast("int"))
-    null = replications.modal_share(spark, 350, _counts(spark, folder), draws=2000).distinct()
+    null = replications.modal_share(spark, 350, _counts(spark, folder), draws=PLACEMENTS).distinct()
     kind = F.when(F.col("modal") > F.col("high"), "above").when(F.col("modal") < F.col("low"), "below").otherwise("inside")
     return timing.join(null, "events").select("gamma", "events", "modal", "m", (F.col("modal") - F.col("m")).alias("excess"), kind.alias("class"))
 
@@ -286,12 +289,21 @@ def _structure(spark, folder):
 
 
 def i77_bootstrap_means(spark, folder):
-    """5 and 95 percent points of resampled mean differences, by hashed draws."""
+    """5 and 95 percent points of resampled mean differences, by hashed draws: the 200 resamples of its SQL."""
+    return _bootstrap_means(spark, folder, 200)
+
+
+def i77_bootstrap_means_full(spark, folder):
+    """The same of all resamples."""
+    return _bootstrap_means(spark, folder, RESAMPLES)
+
+
+def _bootstrap_means(spark, folder, times: int) -> DataFrame:
     d = block_queries._differences(spark, folder).withColumn("i", (F.row_number().over(Window.partitionBy("strategy").orderBy("rep")) - 1).cast("bigint"))
     n = d.groupBy("strategy").agg(F.count("*").alias("n"))
-    draws = n.withColumn("b", F.explode(F.expr("sequence(0L, 199L)"))).withColumn("j", F.explode(F.expr("sequence(0L, n - 1)")))
+    draws = n.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(times - 1).cast("bigint")))).repartition(24, "strategy", "b").withColumn("j", F.explode(F.expr("sequence(0L, n - 1)")))
     at = F.pmod(inference.hashed(F.lit("i77"), F.col("strategy"), F.col("b").cast("string"), F.col("j").cast("string")), F.col("n"))
-    means = draws.withColumn("i", at).join(d.select("strategy", "i", "d"), ["strategy", "i"]).groupBy("strategy", "b").agg(F.avg("d").alias("m"))
+    means = draws.withColumn("i", at).join(F.broadcast(d.select("strategy", "i", "d")), ["strategy", "i"]).groupBy("strategy", "b").agg(F.avg("d").alias("m"))
     q = lambda p: F.round(F.percentile("m", F.lit(p)), 9)
     return means.groupBy("strategy").agg(q(0.05).alias("low"), q(0.95).alias("high"))
 
@@ -301,16 +313,22 @@ dr as (select strategy, b, ('0x' || substr(md5('i77|' || strategy || '|' || b ||
 select strategy, round(quantile_cont(m, 0.05), 9) as low, round(quantile_cont(m, 0.95), 9) as high from me group by strategy"""
 
 
+def i73_bootstrap_full(spark, folder):
+    """The p-value of i73_bootstrap, which its SQL holds to 200 resamples, from all of them."""
+    rows = block_queries._structural(spark, folder)
+    return block_queries._r(inference.block_bootstrap(rows, rows.count(), 4, RESAMPLES, "i73"), 9, "d", "p_value")
+
+
 def i83_size(spark, folder):
     """How often the bootstrap rejects where nothing is there."""
-    return replications.size_calibration(spark, 120, 0.4, 40, [100, 200])
+    return replications.size_calibration(spark, 120, 0.4, SIZE_SETS, SIZE_TIMES)
 
 
 def i84_power(spark, folder):
     """Power of the tests of all candidates by planted shift."""
     x, fired = _structure(spark, folder)
     masks = {0.5: fired, 1.0: np.roll(fired, 1), 2.0: np.roll(fired, 2)}
-    return replications.power_curve(spark, x, masks, [0.0, 0.5, 2.0], 6, 60, 3)
+    return replications.power_curve(spark, x, masks, [0.0, 0.5, 2.0], POWER_REPS, POWER_TIMES, 3)
 
 
 def i85_bracket(spark, folder):
@@ -531,7 +549,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         i13_nonlinear, i22_pairwise, i24_bulk, i25_spectrum, i26_absorption, i27_features, i29_tree, i30_single_linkage, i31_cluster_counts, i37_equal_risk, i39_least_variance, i41_shared, i42_frozen, i43_ar_trigger, i45_inherited,
-        i49_runner, i50_registry, i56_sweep, i60_environments, i93_null_matrix, i95_gate, i96_contrast, i94_control, i69_placebo, i80_density, i81_burstiness, i77_bootstrap_means, i83_size, i84_power, i85_bracket, i87_structural,
+        i49_runner, i50_registry, i56_sweep, i60_environments, i93_null_matrix, i95_gate, i96_contrast, i94_control, i69_placebo, i80_density, i81_burstiness, i77_bootstrap_means, i77_bootstrap_means_full, i73_bootstrap_full, i83_size, i84_power, i85_bracket, i87_structural,
         i88_candidates, i89_selection, i92_sweep, i97_mechanism, i98_control, i106_intervals, a02_parquet, a10_csv, a11_json, a12_jsonl, i101_chain, a13_numbers, i99_manifest, i100_numbers,
         j1_tumbling, j1_sliding, j2_sessions, j3_closed, j4_online, j5_spells,
     )
