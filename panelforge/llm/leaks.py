@@ -110,9 +110,15 @@ def leaked_words(doc: list[str], item: list[str], hits: list[tuple[int, int]]) -
             continue
         stretches.append(covered)
     stretches.sort(key=len, reverse=True)
-    best = len(stretches[0]) if stretches else 0
-    for i, one in enumerate(stretches[:8]):
-        for two in stretches[i + 1 : 8]:
+    apart: list[set[int]] = []  # one within another adds nothing to any pair
+    for one in stretches:
+        if not any(one <= other for other in apart):
+            apart.append(one)
+    best = len(apart[0]) if apart else 0
+    for i, one in enumerate(apart):
+        for two in apart[i + 1 :]:
+            if len(one) + len(two) <= best:  # the rest are no longer
+                break
             best = max(best, len(one | two))
     return best
 

@@ -74,3 +74,24 @@ def test_leaks_are_found_whole_in_part_and_altered(spark):
 def test_block_positions():
     b = L.Block([(1, "a b c d e".split()), (2, "b c d e f".split())])
     assert len(b.hashes) == 4 and (np.diff(b.hashes.astype(object)) >= 0).all()
+
+
+def test_a_repeated_stretch_does_not_hide_a_second_one():
+    item = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}{i}" for i in range(100)]
+    for times in (1, 8, 40):
+        doc: list[str] = []
+        for k in range(times):
+            doc += [f"{FILL.split()[j]}{k}" for j in range(6)] + item[:20]
+        doc += ["and", "then", "again"] + item[60:75]
+        block = L.Block([(7, item)])
+        assert list(block.found(doc, Hasher()(doc))) == [(7, 0.35)]
+
+
+def test_the_best_pair_is_the_best_of_all_pairs(monkeypatch):
+    r = random.Random(5)
+    for _ in range(60):
+        covers = [set(range(a, a + r.randrange(8, 20))) for a in (r.randrange(80) for _ in range(r.randrange(1, 20)))]
+        each = iter([[(i, y) for y in sorted(c)] for i, c in enumerate(covers)])
+        monkeypatch.setattr(L, "extend", lambda doc, item, p, q, way: next(each) if way == 1 else [])
+        got = L.leaked_words([], [], [(1000 + i, 1000) for i in range(len(covers))])
+        assert got == max(len(a | b) for a in covers for b in covers)
