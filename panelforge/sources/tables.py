@@ -42,3 +42,10 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """Scan ``folder/name.parquet``; only ``columns`` reach the reader."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return conform(df, name, *columns) if name in SCHEMAS else (df.select(*columns) if columns else df)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """The tables that lie in ``folder``, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(name[: -len(".parquet")] for name in (f.getPath().getName() for f in found) if name.endswith(".parquet"))
