@@ -130,15 +130,16 @@ def d10_contingency(spark, folder):
 
 
 # the universe and what is held ---------------------------------------------------------------------
-def _universe(spark, folder):
+def _universe(spark, folder, whole: bool = False):
+    """Panel, members and rebalances, to the position that the SQL states or, if ``whole``, to the panel's last."""
     p = cut(views.asset_panel(spark, folder))  # assets by weeks, read by every branch below
     members = p.select("permno").distinct().select("permno", F.lit("1990-01-01").cast("date").alias("mbrstartdt"), F.lit("2030-01-01").cast("date").alias("mbrenddt"))
-    marks = universe.rebalances(p.select("pos", "date").distinct(), LOW, HIGH, views.EVERY)
+    marks = universe.rebalances(p.select("pos", "date").distinct(), LOW, views.last_position(p) if whole else HIGH, views.EVERY)
     return p, members, marks
 
 
-def _snapshot(spark, folder):
-    p, members, marks = _universe(spark, folder)
+def _snapshot(spark, folder, whole: bool = False):
+    p, members, marks = _universe(spark, folder, whole)
     return p, marks, cut(universe.snapshots(p, members, marks, RULE))
 
 

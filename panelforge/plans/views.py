@@ -53,6 +53,11 @@ def matrix_block(spark: SparkSession, folder: str, low: int = 101, size: int = W
     return grid.join(held, ["t", "i"], "left").select("t", "i", F.coalesce("r", F.lit(0.0)).alias("x"))
 
 
+def last_position(panel: DataFrame) -> int:
+    """The last position of a panel, 0 without rows."""
+    return int(panel.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("last")).first()["last"])
+
+
 def trailing_windows(spark: SparkSession, folder: str) -> DataFrame:
     """pos, t (0 the oldest), i, x: the window up to every rebalance of all assets with a return in it, a missing one 0."""
     p = cut(asset_panel(spark, folder))
