@@ -8,10 +8,11 @@ passages, and each hit is extended on both sides, over single words that were
 changed, misspelt, added or dropped. A document leaks a passage if at most two
 such stretches hold enough of its words.
 
-Scale: the corpus is read once and does not move. The evaluation set is cut
-into blocks of a stated number of fingerprints, of which each is broadcast on
-its own, whatever the size of the set; every document meets every block. Only
-hits leave a document.
+Scale: the words of the evaluation set are counted first. Up to a stated number
+they are one broadcast block, and the corpus is read once and does not move.
+Beyond it nothing of the set is gathered: a bit field of fixed size tells which
+fingerprints of the corpus may be in the set at all, those are joined with the
+set's by hash, and only documents with hits meet their passages again.
 """
 
 from __future__ import annotations
@@ -22,24 +23,37 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelforge.llm.words import Hasher, grams, spread, winnow, words
+from panelforge.session import cut
 
 GRAM, WINDOW = 4, 3
-#: Fingerprints of evaluation passages in a broadcast block, 24 bytes each.
-BLOCK = 1_000_000
+#: Words of the evaluation set up to which it is broadcast: about 40 bytes each, so 40 MB.
+BROADCAST_WORDS = 1_000_000
+#: Bits of the field that tells which fingerprints may be in a larger set (16 MB).
+FIELD_BITS = 1 << 27
 #: Share of a passage's words that make a leak, and words that a stretch has at least.
 SHARE, STRETCH = 0.25, 8
 #: Share of the words of a stretch that must agree, over the stretch and close to any of its words.
 DENSE = 0.8
 
 
-def own_passage(passage: str | None) -> str:
-    """A passage without the heading that its suite may open with, set off by a blank line."""
-    if not passage:
-        return ""
-    head, blank, rest = passage.replace("\r\n", "\n").partition("\n\n")
-    return rest if blank and rest.strip() else head
+def own_passages(items: DataFrame) -> DataFrame:
+    """item_id and passage without the heading of its suite.
+
+    A heading is a first paragraph, set off by a blank line, with which at
+    least two different passages of a suite open. Any other first paragraph is
+    part of its passage. Items without a suite are a suite of their own.
+    """
+    suite = F.col("suite") if "suite" in items.columns else F.lit(None)
+    whole = F.ltrim(F.regexp_replace("passage", r"\r\n?", "\n"))
+    parts = items.where("item_id is not null and passage is not null").select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(suite.cast("string"), F.lit("")).alias("suite"), F.split(whole, r"\n[ \t]*\n", 2).alias("parts"))
+    parts = parts.select("item_id", "suite", F.col("parts")[0].alias("head"), F.get("parts", F.lit(1)).alias("rest"))
+    parts = parts.withColumn("rest", F.when(F.trim("rest") != "", F.col("rest")))
+    told = parts.where("rest is not null").groupBy("suite", "head").agg((F.min(F.xxhash64("rest")) < F.max(F.xxhash64("rest"))).alias("shared"))
+    passage = F.when(F.col("rest").isNull(), F.col("head")).when(F.col("shared"), F.col("rest")).otherwise(F.concat_ws("\n\n", "head", "rest"))
+    return parts.join(told, ["suite", "head"], "left").select("item_id", passage.alias("passage"))
 
 
 def alike(a: str, b: str) -> bool:
@@ -109,7 +123,7 @@ def leaked_words(doc: list[str], item: list[str], hits: list[tuple[int, int]]) -
         if len(covered) < DENSE * (max(covered) - min(covered) + 1):
             continue
         stretches.append(covered)
-    stretches.sort(key=len, reverse=True)
+    stretches = sorted(map(set, {frozenset(one) for one in stretches}), key=len, reverse=True)
     apart: list[set[int]] = []  # one within another adds nothing to any pair
     for one in stretches:
         if not any(one <= other for other in apart):
@@ -123,6 +137,12 @@ def leaked_words(doc: list[str], item: list[str], hits: list[tuple[int, int]]) -
     return best
 
 
+def leak_share(doc: list[str], item: list[str], hits: list[tuple[int, int]]) -> float | None:
+    """The share of the words of ``item`` that ``doc`` reproduces, or None if that is no leak."""
+    count = leaked_words(doc, item, hits)
+    return count / len(item) if count >= SHARE * len(item) and count >= min(STRETCH, len(item)) else None
+
+
 class Block:
     """Fingerprints of some passages, to be broadcast."""
 
@@ -158,9 +178,9 @@ class Block:
                 hits[int(self.owners[at])].append((p, int(self.places[at])))
         for number, pairs in hits.items():
             item, own = self.passages[number]
-            count = leaked_words(tokens, own, pairs)
-            if count >= SHARE * len(own) and count >= min(STRETCH, len(own)):
-                yield item, count / len(own)
+            share = leak_share(tokens, own, pairs)
+            if share is not None:
+                yield item, share
 
 
 def _kernel(shared):
@@ -181,28 +201,97 @@ def _kernel(shared):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+def _words_of_items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = [words(x) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.string()))], names=["item_id", "words"])
+
+
+def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item_id, place and hash of every run of words of every passage."""
+    hasher = Hasher()
+    for batch in batches:
+        for item, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = grams(hasher(tokens), GRAM)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), item)), pa.array(np.arange(len(own), dtype=np.int32)), pa.array(own.view(np.int64))], names=["item_id", "place", "hash"])
+
+
+def _possible(shared):
+    """doc_id, text hash, place and hash of the fingerprints of a corpus whose bit is set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, field = Hasher(), shared.value
+        for batch in batches:
+            docs, texts, places, hashes = [], [], [], []
+            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                tokens = words(text.as_py())
+                if len(tokens) < GRAM:
+                    continue
+                own = grams(hasher(tokens), GRAM)
+                at = winnow(own, WINDOW)
+                bit = (own[at] % np.uint64(FIELD_BITS)).astype(np.int64)
+                at = at[(field[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+                docs += [doc] * len(at)
+                texts += [key] * len(at)
+                places.append(at)
+                hashes.append(own[at])
+            place = np.concatenate(places).astype(np.int32) if places else np.zeros(0, dtype=np.int32)
+            value = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), pa.array(place), pa.array(value)], names=["doc_id", "key", "at", "hash"])
+
+    return run
+
+
+def _extended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        docs, items, shares = [], [], []
+        before, tokens = None, []
+        for doc, text, item, own, at, place in zip(*(c.to_pylist() for c in batch.columns)):
+            if text != before:
+                before, tokens = text, words(text)
+            share = leak_share(tokens, own, list(zip(at, place)))
+            if share is not None:
+                docs.append(doc)
+                items.append(item)
+                shares.append(share)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64()), pa.array(shares, pa.float64())], names=["doc_id", "item_id", "share"])
+
+
+FOUND = "doc_id bigint, item_id bigint, share double"
+
+
+def _joined(documents: DataFrame, own: DataFrame) -> DataFrame:
+    """The leaks of an evaluation set of any size, by joins on hashes and keys."""
+    spark = documents.sparkSession
+    postings = own.mapInArrow(_postings, "item_id bigint, place int, hash bigint")
+    bit = F.expr(f"hash & {FIELD_BITS - 1}L")  # the remainder of its unsigned value
+    parts = postings.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits"))
+    field = np.zeros(FIELD_BITS // 8, dtype=np.uint8)
+    for row in parts.toLocalIterator():  # FIELD_BITS in all, whatever the size of the set
+        part = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+        field[(row["bucket"] - 1) * len(part) : row["bucket"] * len(part)] |= part
+    shared = spark.sparkContext.broadcast(field)
+    texts = documents.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    possible = texts.mapInArrow(_possible(shared), "doc_id bigint, key bigint, at int, hash bigint")
+    hits = possible.distinct().join(postings, "hash").groupBy("doc_id", "key", "item_id").agg(F.collect_list("at").alias("at"), F.collect_list("place").alias("place"))
+    met = texts.join(hits, ["doc_id", "key"]).join(own, "item_id")  # sizes are measured at run time
+    return met.select("doc_id", "text", "item_id", "words", "at", "place").mapInArrow(_extended, FOUND)
+
+
+def leaks(documents: DataFrame, items: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """Every pair of document and leaked item: doc_id, item_id, share of the passage's words.
 
-    ``documents``: doc_id, text; ``items``: item_id, passage. Null, empty and
-    wordless texts and passages, and passages of fewer than four words, leak
-    nothing. Equal documents count each, as do equal passages of several items.
+    ``documents``: doc_id, text; ``items``: item_id, passage and, where there is
+    one, suite. Null, empty and wordless texts and passages, passages of fewer
+    than four words, and items or documents without an id leak nothing. Equal
+    documents count each, as do equal passages of several items.
     """
     spark = documents.sparkSession
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    held = 0
-    for row in items.select("item_id", "passage").orderBy("item_id").toLocalIterator():
-        tokens = words(own_passage(row["passage"]))
-        if len(tokens) < GRAM or row["item_id"] is None:
-            continue
-        if held + len(tokens) > block and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row["item_id"], tokens))
-        held += len(tokens)
-    out, documents = None, spread(documents.select("doc_id", "text"))
-    for part in blocks:
-        shared = spark.sparkContext.broadcast(Block(part))
-        found = documents.mapInArrow(_kernel(shared), "doc_id bigint, item_id bigint, share double")
-        out = found if out is None else out.unionByName(found)
-    return out
+    own = cut(own_passages(items).mapInArrow(_words_of_items, "item_id bigint, words array<string>").where(F.size("words") >= GRAM))
+    documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    held = own.agg(F.sum(F.size("words"))).first()[0] or 0
+    if held > broadcast_words:
+        return _joined(documents, own)
+    block = Block([(r["item_id"], r["words"]) for r in own.collect()])  # at most broadcast_words
+    shared = spark.sparkContext.broadcast(block)
+    return spread(documents).mapInArrow(_kernel(shared), FOUND)

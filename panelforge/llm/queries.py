@@ -49,7 +49,7 @@ P8_SQL = "select doc_id, coalesce(text, '') as text from documents"
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of document and leaked evaluation item."""
-    return leaks.leaks(_documents(spark, folder), table(spark, folder, "eval_items", "item_id", "passage")).select("doc_id", "item_id")
+    return leaks.leaks(_documents(spark, folder), table(spark, folder, "eval_items", "item_id", "suite", "passage")).select("doc_id", "item_id")
 
 
 def p9_report(spark: SparkSession, folder: str) -> DataFrame:

@@ -65,9 +65,10 @@ def test_leaks_are_found_whole_in_part_and_altered(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, item_id string")
     it = spark.createDataFrame(items, "item_id bigint, passage string, share string")
     want = {(d, i) for d, (_, found) in docs.items() for i in found} | {(12, 1)}
-    for block in (L.BLOCK, 60):  # one block, or one for each passage
-        got = [(r["doc_id"], r["item_id"]) for r in L.leaks(df, it, block).collect()]
+    for held in (L.BROADCAST_WORDS, 0):  # broadcast, or joined
+        got = [(r["doc_id"], r["item_id"]) for r in L.leaks(df, it, held).collect()]
         assert set(got) == want and len(got) == len(want)
+        assert L.leaks(df.limit(0), it, held).collect() == []
     assert L.leaks(df.limit(0), it).collect() == [] and L.leaks(df, it.limit(0)).collect() == []
 
 
@@ -95,3 +96,31 @@ def test_the_best_pair_is_the_best_of_all_pairs(monkeypatch):
         monkeypatch.setattr(L, "extend", lambda doc, item, p, q, way: next(each) if way == 1 else [])
         got = L.leaked_words([], [], [(1000 + i, 1000) for i in range(len(covers))])
         assert got == max(len(a | b) for a in covers for b in covers)
+
+
+def test_only_the_heading_of_a_suite_is_taken_off(spark):
+    own = [_passage(i) for i in range(1, 5)]
+    heading = "Read the passage with care before you answer."
+    rows = [(1, "a", f"{heading}\r\n\r\n{own[0]}"), (2, "a", f"{heading}\n \n{own[1]}"), (3, "b", f"{own[2]}\n\n{own[3]}"), (4, None, "one paragraph only"), (5, "c", None), (6, "c", "title\n\n"), (7, "d", "same\n\nrest"), (8, "d", "same\n\nrest")]
+    got = {r["item_id"]: r["passage"] for r in L.own_passages(spark.createDataFrame(rows, "item_id bigint, suite string, passage string")).collect()}
+    assert got == {1: own[0], 2: own[1], 3: f"{own[2]}\n\n{own[3]}", 4: "one paragraph only", 6: "title", 7: "same\n\nrest", 8: "same\n\nrest"}
+
+
+def test_a_first_paragraph_that_is_no_heading_leaks_as_well(spark):
+    """Half of a passage of two paragraphs is reproduced, whichever half it is."""
+    first, second = _passage(21), _passage(22)
+    items = spark.createDataFrame([(1, "a", f"{first}\n\n{second}"), (2, "a", _passage(23))], "item_id bigint, suite string, passage string")
+    df = spark.createDataFrame([(1, FILL + first), (2, FILL + second + FILL), (None, first)], "doc_id bigint, text string")
+    for held in (L.BROADCAST_WORDS, 0):
+        assert sorted((r["doc_id"], r["item_id"]) for r in L.leaks(df, items, held).collect()) == [(1, 1), (2, 1)]
+
+
+def test_repeated_parts_leak(spark):
+    """A passage of 48 words of which one part is repeated often, and a second part is there once."""
+    item = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}{i}" for i in range(48)]
+    for times in (7, 8, 30):
+        text = " ".join(" ".join([*item[:9], f"and{k} so on it went for a while"]) for k in range(times)) + " then at last " + " ".join(item[30:38])
+        df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+        it = spark.createDataFrame([(5, " ".join(item))], "item_id bigint, passage string")
+        for held in (L.BROADCAST_WORDS, 0):
+            assert [(r["doc_id"], r["item_id"], round(r["share"], 3)) for r in L.leaks(df, it, held).collect()] == [(1, 5, 0.354)]
