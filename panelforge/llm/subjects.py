@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.words import plain, spread
@@ -35,26 +35,46 @@ from panelforge.session import cut
 
 #: Hashed features, and numbers of an embedding.
 FEATURES, WIDTH = 1 << 15, 24
-#: Documents of the sample on which training goes on, and shards of the training rows.
-SAMPLE_DOCS, SHARDS = 6_000, 8
+#: Labelled examples of a subject, and documents of the sample, on which the model is fitted; shards of the training rows.
+PER_SUBJECT, SAMPLE_DOCS, SHARDS = 2_000, 12_000, 8
+#: Passes over the training rows from each labelling of the sample to the next.
+PASSES = (4, 4, 4)
 #: Probability from which a sentence is on a subject, and share of such sentences that makes it a document's.
 ON, SHARE = 0.5, 0.28
 #: Words of a sentence at least.
 WORDS = 4
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
-_CODE = re.compile(r"[|{}\\=_<>\[\]]|https?:|;\S|\d;|\.{4}")
+#: What is written into prose and is none: links, commands of markup, notes in brackets, names with underscores.
+_GLUED = re.compile(r"(?:https?:|www\.)\S*|\\(?:begin|end)\{[^{}]*\}|\\[a-z]+\*?(?=[\s{])|\[[^\[\]]{0,60}\]|[^\s(]*_\S*|\.{4,}")
+_EDGE = re.compile(r"^[\s>|*#]+|[\s|]+$")
+_SIGN = re.compile(r"[\"']:|[|{}\\=_<>\[\]]|\w\(|;(?=\S|$)|https?:|\.{4}")
+#: Share of signs among the characters of a line from which it is code or a table.
+SIGNS = 0.04
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
+def prose(part: str) -> str:
+    """``part`` without what is glued into it, or nothing where it is code or a table's row."""
+    if not _SIGN.search(part):
+        return part
+    bare = _GLUED.sub(" ", _EDGE.sub("", part))
+    if "\\" in part:
+        bare = bare.replace("{", " ").replace("}", " ")
+    return "" if len(_SIGN.findall(bare)) >= max(2, SIGNS * len(bare)) else bare
+
+
 def sentences(text: str | None) -> list[list[str]]:
-    """The words of every sentence in prose; lines of code and tables have none."""
+    """The words of every sentence in prose; lines of code and tables have none.
+
+    Links, commands of markup, notes in brackets and names with underscores are
+    taken out of a sentence, which counts with the rest of its words.
+    """
     out = []
     for part in _SENTENCE.split(plain(text) if text else ""):
-        if not _CODE.search(part):
-            found = _WORD.findall(part)
-            if len(found) >= WORDS:
-                out.append(found)
+        found = _WORD.findall(prose(part))
+        if len(found) >= WORDS:
+            out.append(found)
     return out
 
 
@@ -201,28 +221,33 @@ def _example_rows(examples: list[tuple[str, str]], subjects: list[str], teacher:
     return out
 
 
-def train(documents: DataFrame, examples: DataFrame, subjects: list[str], sample_docs: int = SAMPLE_DOCS, shards: int = SHARDS, rounds: int = 3, passes: int = 4) -> Weights:
-    """Fit on the examples, then ``rounds`` times on them and a sample of about ``sample_docs`` documents."""
+def bounded(examples: DataFrame, per_subject: int) -> DataFrame:
+    """At most ``per_subject`` examples of every subject, drawn by hash, so that order of arrival plays no part."""
+    drawn = F.row_number().over(Window.partitionBy("subject").orderBy(F.xxhash64("example_id", "text"), "example_id", "text"))
+    return examples.where("subject is not null and text is not null").select("example_id", "subject", "text", drawn.alias("drawn")).where(F.col("drawn") <= per_subject)
+
+
+def train(documents: DataFrame, examples: DataFrame, subjects: list[str], sample_docs: int = SAMPLE_DOCS, per_subject: int = PER_SUBJECT, shards: int = SHARDS, passes: tuple[int, ...] = PASSES) -> Weights:
+    """Fit on at most ``per_subject`` examples of each subject, then once per entry of ``passes`` on them and a sample of about ``sample_docs`` documents."""
     spark = documents.sparkSession
-    held = [(r["subject"], r["text"]) for r in examples.select("example_id", "subject", "text").orderBy("example_id").limit(20_000).collect()]
+    held = [(r["subject"], r["text"]) for r in bounded(examples.where(F.col("subject").isin(subjects)), per_subject).orderBy("example_id", "subject", "text").collect()]
     weights = Weights(len(subjects))
     rows = _example_rows(held, subjects, None)
     if not rows:
         return weights
     weights.train([np.array(f) for f, _ in rows], np.array([t for _, t in rows], dtype=np.float32), 12, 1, batch=64)
-    told = documents.where("length(text) > 0")
-    many = told.count()
+    many = documents.count()  # by the files' own counts
     grain = 1 << 30
-    kept = told.where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < F.lit(min(grain, int(grain * sample_docs / max(many, 1)) + 1)))
+    kept = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < F.lit(min(grain, int(grain * sample_docs / max(many, 1)) + 1)))
     kept = cut(kept.select("doc_id", "text").repartition(shards))
-    for turn in range(rounds):
+    for turn, count in enumerate(passes):
         teacher = spark.sparkContext.broadcast(weights)
         own = _example_rows(held, subjects, weights if turn else None)
         frame = spark.createDataFrame(pd.DataFrame([(i % shards, f, t) for i, (f, t) in enumerate(own * 3)], columns=["shard", "features", "target"]), ROWS)
-        data = cut(kept.mapInArrow(_sampled(teacher, turn > 0, shards), ROWS).unionByName(frame).repartitionById(shards, F.col("shard")))
+        data = cut(kept.mapInArrow(_sampled(teacher, turn > 0, shards), ROWS).unionByName(frame).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.xxhash64("features", "target")))
         weights = Weights(len(subjects), seed=turn + 1)
-        for step in range(passes):
-            weights = _synchronised(data, weights, turn * passes + step)
+        for step in range(count):
+            weights = _synchronised(data, weights, 100 * turn + step)
         teacher.destroy()
     return weights
 
@@ -242,7 +267,7 @@ def _shard_pass(shared, seed: int):
             after = before.copy()
             after.train(rows, np.concatenate(targets), 1, seed * 1000 + shard)
             steps = [(getattr(after, n) - getattr(before, n)).tobytes() for n in Weights.NAMES]
-            yield pa.RecordBatch.from_arrays([pa.array(Weights.NAMES), pa.array(steps, pa.binary())], names=["name", "step"])
+            yield pa.RecordBatch.from_arrays([pa.array(Weights.NAMES), pa.array([shard] * len(steps), pa.int32()), pa.array(steps, pa.binary())], names=["name", "shard", "step"])
 
     return run
 
@@ -250,7 +275,7 @@ def _shard_pass(shared, seed: int):
 def _averaged(pdf: pd.DataFrame) -> pd.DataFrame:
     """The common step of one array of weights: summed step sizes, else the mean over the shards that moved a row."""
     name = pdf["name"].iloc[0]
-    moves = [np.frombuffer(x, dtype=np.float32) for x in pdf["step"]]
+    moves = [np.frombuffer(x, dtype=np.float32) for x in pdf.sort_values("shard")["step"]]  # in order, so that sums come out alike
     total = np.sum(moves, axis=0)
     if name == "embedding":
         touched = np.sum([(m.reshape(FEATURES, WIDTH) != 0).any(axis=1) for m in moves], axis=0)
@@ -263,7 +288,7 @@ def _averaged(pdf: pd.DataFrame) -> pd.DataFrame:
 def _synchronised(data: DataFrame, weights: Weights, seed: int) -> Weights:
     """One pass of every shard from common weights, and the mean of their steps."""
     shared = data.sparkSession.sparkContext.broadcast(weights)
-    steps = data.mapInArrow(_shard_pass(shared, seed), "name string, step binary").groupBy("name").applyInPandas(_averaged, "name string, step binary").collect()  # one model's size
+    steps = data.mapInArrow(_shard_pass(shared, seed), "name string, shard int, step binary").groupBy("name").applyInPandas(_averaged, "name string, step binary").collect()  # one model's size
     out = weights.copy()
     for row in steps:
         base = getattr(out, row["name"])
@@ -276,9 +301,8 @@ def subjects_of(p: np.ndarray, on: float = ON, share: float = SHARE) -> list[int
     """The subjects of a document from the probabilities of its sentences."""
     if not len(p):
         return []
-    clear = p.max(axis=1) >= on
-    n = int(clear.sum())
-    counts = np.bincount(p.argmax(axis=1)[clear], minlength=p.shape[1])
+    told = p >= on  # a sentence may be on several
+    counts, n = told.sum(axis=0), int(told.any(axis=1).sum())
     return [int(i) for i in np.flatnonzero((counts > 0) & (counts >= share * n))]
 
 

@@ -66,3 +66,25 @@ def test_shares():
     p = np.array([[0.9, 0.1], [0.9, 0.1], [0.9, 0.1], [0.1, 0.8], [0.1, 0.2]])
     assert S.subjects_of(p) == [0]
     assert S.subjects_of(p[1:]) == [0, 1] and S.subjects_of(p[4:]) == [] and S.subjects_of(p[:0]) == []
+
+
+def test_prose_with_notes_links_and_markup_counts():
+    note = "The river floods were severe in the whole valley [see note 4]. Salmon ladders were repaired, see https://x.org/a_b?c=1 for the plan."
+    assert [" ".join(x) for x in S.sentences(note)] == ["the river floods were severe in the whole valley", "salmon ladders were repaired see for the plan"]
+    assert [" ".join(x) for x in S.sentences(r"Old \emph{tidal} weirs were \textbf{closed} again.")] == ["old tidal weirs were closed again"]
+    assert [" ".join(x) for x in S.sentences("> | the ferry_id_9 ferry crossings were closed |\nσ = λ·x while tower chimes were silent")] == ["the ferry crossings were closed", "while tower chimes were silent"]
+    for code in ('{"alpha": 26, "beta": "gamma", "delta": [1, 2], "omega": true}', "total = count(alpha) + other(beta)", "alpha | beta | gamma | delta", "for (item = start; item < final;) total[item] = value;"):
+        assert S.sentences(code) == []
+
+
+def test_a_sentence_on_two_subjects_counts_for_both():
+    p = np.array([[0.9, 0.8, 0.0], [0.9, 0.7, 0.1], [0.9, 0.1, 0.1]])
+    assert S.subjects_of(p) == [0, 1]
+
+
+def test_examples_are_bounded_per_subject_whatever_their_order(spark):
+    rows = [(i, "gardens", f"text {i}") for i in range(50)] + [(1000 + i, "rivers", f"text {i}") for i in range(3)] + [(1, None, "x"), (2, "rivers", None)]
+    frame = spark.createDataFrame(rows, "example_id bigint, subject string, text string")
+    got = [tuple(r) for r in S.bounded(frame, 10).select("subject", "example_id").collect()]
+    assert sorted(s for s, _ in got) == ["gardens"] * 10 + ["rivers"] * 3
+    assert sorted(got) == sorted(tuple(r) for r in S.bounded(frame.repartition(3), 10).select("subject", "example_id").collect())
