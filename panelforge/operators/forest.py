@@ -1,17 +1,23 @@
 """Isolation forests of many small sources at once.
 
-Every source (a group of adjacent rows) gets trees of its own, grown on samples
-of its rows. A tree is a complete binary tree of fixed depth, so the trees of
-all sources of a chunk are arrays, and are grown and descended together. All
-draws are hashes of the source's key, so scores do not depend on how rows are
-spread over partitions or chunks.
+Every source (a group of adjacent rows) gets trees of its own. A tree cuts the
+box of a source's features at random: a node draws a feature and a place in
+its own cell. Features are in usual sizes of their source and the box reaches
+up to ROOM of them, so the largest of ordinary readings is not isolated for
+being the largest, nor is an odd one hidden behind one that is odder still. A
+sample of the source's rows tells how full cells are; a reading is isolated at
+the depth at which its cell holds at most one of them. All draws are hashes of
+the source's key, so scores do not depend on how rows are spread over
+partitions or chunks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-TREES, SAMPLE, DEPTH = 8, 32, 5
+TREES, SAMPLE, DEPTH = 24, 128, 7
+#: The height of a box; what lies beyond is as odd as it gets.
+ROOM = 25.0
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,69 +42,52 @@ def expected_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, out, np.where(n == 2, 1.0, 0.0))
 
 
-def scores(features: np.ndarray, cuts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def scores(features: np.ndarray, cuts: np.ndarray, keys: np.ndarray, drawn: np.ndarray) -> np.ndarray:
     """The anomaly score of every row, 0 to 1, against the forest of its own source.
 
-    ``features``: rows by features, without NaN. ``cuts``: where sources begin,
-    then the number of rows. ``keys``: a hash per source.
+    ``features``: rows by features, 0 to ROOM, without NaN. ``cuts``: where
+    sources begin, then the number of rows. ``keys``: a hash per source.
+    ``drawn``: the rows that a sample may hold; a source without any is sampled
+    from all its rows.
     """
     n, width = features.shape
-    sources, sizes = len(cuts) - 1, np.diff(cuts)
     if not n:
         return np.zeros(0)
-    base = mixed(keys.astype(np.uint64))
-    with np.errstate(over="ignore"):
-        tree = mixed(base[:, None] + np.arange(1, TREES + 1, dtype=np.uint64)[None, :] * np.uint64(1_000_003))
-        draw = unit(mixed(tree[:, :, None] + np.arange(1, SAMPLE + 1, dtype=np.uint64) * np.uint64(7_919)))
-        nodes = (1 << (DEPTH + 1)) - 1
-        chance = mixed(tree[:, :, None] + np.arange(1, nodes + 1, dtype=np.uint64) * np.uint64(104_729))
-    picked = cuts[:-1, None, None] + (draw * sizes[:, None, None]).astype(np.int64)
-    values = features[picked]  # source, tree, sample, feature
-    feature = (chance % np.uint64(width)).astype(np.int64)
-    where = unit(mixed(chance))
-    split = np.full(feature.shape, np.inf)
-    path = np.zeros(feature.shape)
-    count = np.zeros(feature.shape)
-    count[:, :, 0] = SAMPLE
-    member = np.zeros(values.shape[:3], dtype=np.int64)
-    for depth in range(DEPTH):
-        first = (1 << depth) - 1
-        for node in range(first, 2 * first + 1):
-            inside = member == node
-            x = np.take_along_axis(values, feature[:, :, node][:, :, None, None], axis=3)[..., 0]
-            low = np.where(inside, x, np.inf).min(axis=2)
-            high = np.where(inside, x, -np.inf).max(axis=2)
-            some = low <= high
-            # beyond a constant sample a reading is isolated at once
-            at = np.where(some, np.where(high > low, low + where[:, :, node] * (high - low), high), np.inf)
-            split[:, :, node] = at
-            right = inside & (x > at[:, :, None])
-            n_right = right.sum(axis=2)
-            count[:, :, 2 * node + 2] = n_right
-            count[:, :, 2 * node + 1] = count[:, :, node] - n_right
-            member = np.where(right, 2 * node + 2, np.where(inside, 2 * node + 1, member))
-    # a leaf's path: up to the depth at which its sample can no longer be split
-    ended = np.zeros((sources, TREES, nodes), dtype=bool)
-    for depth in range(DEPTH + 1):
-        first = (1 << depth) - 1
-        span = slice(first, 2 * first + 1)
-        if depth:
-            up = (np.arange(first, 2 * first + 1) - 1) // 2
-            ended[:, :, span] = ended[:, :, up]
-            path[:, :, span] = np.where(ended[:, :, span], path[:, :, up], depth + expected_path(count[:, :, span]))
-        else:
-            path[:, :, span] = expected_path(count[:, :, span])
-        ended[:, :, span] |= count[:, :, span] <= 1
-    source = np.repeat(np.arange(sources), sizes)
+    sources, nodes, inner = len(cuts) - 1, (1 << (DEPTH + 1)) - 1, (1 << DEPTH) - 1
+    each = np.arange(sources)
+    source = np.repeat(each, np.diff(cuts))
+    lacking = np.add.reduceat(drawn.astype(np.int64), cuts[:-1]) == 0
+    pool = np.flatnonzero(drawn | lacking[source])
+    first = np.searchsorted(pool, cuts)
+    base, flat, at_row = mixed(keys.astype(np.uint64)), np.ascontiguousarray(features).ravel(), np.arange(n) * width
+    longest = expected_path(np.arange(SAMPLE + 1))
     total = np.zeros(n)
-    flat = features.ravel()
-    at_row = np.arange(n) * width
-    for t in range(TREES):
-        f, s, p = (np.ascontiguousarray(a[:, t, :]).ravel() for a in (feature, split, path))
-        origin = source * nodes
-        node = np.zeros(n, dtype=np.int64)
-        for _ in range(DEPTH):
+    for t in range(1, TREES + 1):
+        with np.errstate(over="ignore"):
+            tree = mixed(base + np.uint64(t * 1_000_003))
+            draw = unit(mixed(tree[:, None] + np.arange(1, SAMPLE + 1, dtype=np.uint64) * np.uint64(7_919)))
+            chance = mixed(tree[:, None] + np.arange(1, inner + 1, dtype=np.uint64) * np.uint64(104_729))
+        feature, place = (chance % np.uint64(width)).astype(np.int64), unit(mixed(chance))
+        split = np.empty((sources, inner))
+        low, high = np.zeros((nodes, sources, width)), np.full((nodes, sources, width), ROOM)
+        for node in range(inner):
+            f = feature[:, node]
+            a, b = low[node, each, f], high[node, each, f]
+            split[:, node] = at = a + place[:, node] * (b - a)
+            for child in (2 * node + 1, 2 * node + 2):
+                low[child], high[child] = low[node], high[node]
+            high[2 * node + 1, each, f] = at
+            low[2 * node + 2, each, f] = at
+        sample = pool[(first[:-1, None] + draw * np.diff(first)[:, None]).astype(np.int64)].ravel()
+        f, s, origin = feature.ravel(), split.ravel(), source * inner
+        node, path, open_ = np.zeros(n, dtype=np.int64), np.zeros(n), np.ones(n, dtype=bool)
+        for depth in range(1, DEPTH + 1):
             here = origin + node
             node = 2 * node + 1 + (flat[at_row + f[here]] > s[here])
-        total += p[origin + node]
-    return np.exp2(-total / TREES / float(expected_path(np.array(SAMPLE))))
+            cell = source * nodes + node
+            count = np.bincount(cell[sample], minlength=sources * nodes)[cell]
+            ends = open_ & ((count <= 1) | (depth == DEPTH))
+            path[ends] = depth + longest[count[ends]]
+            open_ &= ~ends
+        total += path
+    return np.exp2(-total / TREES / float(longest[-1]))

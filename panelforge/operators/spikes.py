@@ -2,19 +2,23 @@
 
 Every reading gets the score of an isolation forest of its own source, on its
 level (distance from the median of its neighbours), difference (to the reading
-before), season (distance from the readings four weeks before and after) and
-run length. A reading that cannot exist comes out by explicit limits. One
-whose score is high comes out if an exact check on its source confirms it: the
-level leaves what is normal for the source and returns within some weeks, or
-the change contradicts the other field, or the value sticks.
+before), season (distance from the readings four weeks before and after; for a
+return, what the prices leave unexplained) and run length, all in sizes usual
+for the source. A reading that cannot exist comes out by explicit limits. One
+that the forest finds odd comes out if an exact check tells what is wrong with
+it: the level leaves its course and returns within some weeks, or the change
+contradicts the other field, or the value sticks. The check asks little of the
+size of a move; how far is far for a source is what the forest decides.
 
 Scale: a source is cut into blocks of time, each with a margin of days on both
-sides as context, so a source with a third of all rows is several tasks. Rows
-move once. All work on a chunk of sources is on arrays.
+sides as context, and deliveries of a block beyond a bound are judged in parts,
+so a source with a third of all rows is several tasks. Rows move once. All work on a chunk of sources is on arrays.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,12 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.arrowgroups import complete_groups, integers, numbers, starts
-from panelforge.operators.forest import mixed, scores
+from panelforge.operators.forest import ROOM, mixed, scores
+from panelforge.session import cut
 
 BLOCK_DAYS, MARGIN_DAYS = 1096, 90
-#: A reading is checked from this score or its source's lower quartile, whichever is lower. It is a wide gate (0.5 is
-#: that of a reading like the rest): a value stuck for a third of a short source's dates is no rare reading of it.
-SUSPECT = 0.36
+#: The score from which a reading is odd for its source and is checked.
+SUSPECT = 0.48
+#: The least size of a change, in logs, that counts as usual.
+TINY = 0.01
+#: Rows of a source and block from which its deliveries are judged in several parts.
+HOT_ROWS = 200_000
 #: Dates that a stuck value lasts at least, and share of repeats that is normal for a source.
 STUCK_DATES, OFTEN = 12, 0.2
 #: Dates that a source must have to be judged by its own behaviour.
@@ -88,12 +96,6 @@ def spread(x: np.ndarray, source: np.ndarray, sources: int) -> np.ndarray:
     return 1.4826 * out
 
 
-def usual_score(score: np.ndarray, source: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """For every row, the lower quartile of its source's scores."""
-    order = np.lexsort((score, source))
-    return score[order[(cuts[:-1] + (np.diff(cuts) - 1) // 4)]][source]
-
-
 def excursions(x: np.ndarray, series: Series, least: np.ndarray, change: np.ndarray | None) -> np.ndarray:
     """Dates whose level ``x`` leaves that before by more than ``least`` and comes back.
 
@@ -156,11 +158,11 @@ def runs(x: np.ndarray, series: Series) -> tuple[np.ndarray, np.ndarray, np.ndar
     return length, repeats, often
 
 
-def _features(x: np.ndarray, run: np.ndarray, rows: np.ndarray, series: Series, own: np.ndarray, usual: np.ndarray | None = None) -> np.ndarray:
-    """Level, difference, season and run length of every row's reading ``own``; 0 where unknown. ``x``: the valid ones by date.
+def _features(x: np.ndarray, run: np.ndarray, rows: np.ndarray, series: Series, own: np.ndarray, gap: np.ndarray | None = None) -> np.ndarray:
+    """Level, difference, season and run length of every row's reading ``own``, in usual sizes of its source, 0 where unknown.
 
-    With ``usual``, the usual change of the source, the difference is how far
-    off that it is on a log scale, so none at all is as odd as a huge one.
+    ``x``: the valid readings by date, which alone tell what is usual. ``gap``
+    takes the place of the season. A run is in logs, at ROOM from STUCK_DATES on.
     """
     n = len(x)
     at = np.arange(n)
@@ -177,11 +179,14 @@ def _features(x: np.ndarray, run: np.ndarray, rows: np.ndarray, series: Series,
     last = np.where(prior >= 0, x[prior], np.nan)
     early, late = shifted(-20), shifted(20)
     month = np.where(np.isnan(early), late, np.where(np.isnan(late), early, (early + late) / 2))
-    change = np.abs(own - last[rows])
-    if usual is not None:
-        change = np.abs(np.log((change + 0.05 * usual[rows]) / np.maximum(usual[rows], 1e-6)))
-    out = np.stack([np.abs(own - level[rows]), change, np.abs(own - month[rows]), run[rows], run[rows]], axis=1)
-    return np.nan_to_num(out, nan=0.0, posinf=0.0)
+    season = np.abs(own - month[rows]) if gap is None else np.abs(gap)
+    out = np.stack([np.abs(own - level[rows]), np.abs(own - last[rows]), season, np.log(np.maximum(run, 1))[rows]], axis=1)
+    out = np.nan_to_num(out, nan=0.0, posinf=0.0)
+    sources, source = int(series.source.max()) + 1, series.source
+    for k in range(3):
+        out[:, k] /= np.maximum(spread(out[series.at, k], source, sources), TINY)[source[rows]]
+    out[:, 3] *= ROOM / np.log(STUCK_DATES)
+    return np.minimum(out, ROOM)
 
 
 def judge(cols: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -221,8 +226,8 @@ def judged(cols: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarra
     prior = s.before(ok_p)
     step = np.where(prior >= 0, pv - pv[prior], np.nan)
     usual_p = spread(step, s.source, sources)[s.source]
-    least_p = np.clip(12 * usual_p, 0.6, 1.1)
-    least_s = np.full(len(at), 0.5)
+    least_p = np.maximum(5 * usual_p, 0.25)
+    least_s = np.full(len(at), 0.1)
 
     def outside(own: np.ndarray, x: np.ndarray, bad: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Rows that leave the sound levels before and after alike, or share the reading of a bad date."""
@@ -264,37 +269,37 @@ def judged(cols: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarra
     out_r = (np.abs(gap) > least_r[rows]) & ~((last & ~ok_p)[rows] & (ret < 0))
 
     normal = (s.after - s.first >= LEAST_DATES)[rows]  # fewer dates show no behaviour to depart from
-    zeros = np.zeros(len(at))
+    none, valid = np.zeros(len(at)), np.zeros(len(source), dtype=bool)
+    valid[at] = True
     result = {}
-    for name, own, x, run, usual, found, limit in (
-        ("ret", ret, ret[at], run_r, usual_r, out_r | held_r, ret < -1),
-        ("prc", price, pv, run_p, usual_p, out_p | held_p, prc == 0),
-        ("shrout", shares, sv, zeros, None, out_s, shrout <= 0),
+    for name, own, x, run, drawn, found, limit in (
+        ("ret", ret, ret[at], run_r, valid & ~again_r[rows], out_r | held_r, ret < -1),
+        ("prc", price, pv, run_p, valid & ~again_p[rows], out_p | held_p, prc == 0),
+        ("shrout", shares, sv, none, valid, out_s, shrout <= 0),
     ):
-        features = _features(x, np.log1p(run), rows, s, own, usual)
-        if name == "ret":
-            features[:, 2] = np.nan_to_num(np.abs(gap), nan=0.0)  # what the prices of the date leave unexplained
-        score = scores(features, cuts, keys)
-        result[name] = (score, limit | (found & normal & (score >= np.minimum(SUSPECT, usual_score(score, source, cuts)))))
+        features = _features(x, run, rows, s, own, gap if name == "ret" else None)
+        goes_on = (features[:, 0] == ROOM) & (features[:, 1] < 4)
+        score = scores(features, cuts, keys, drawn & ~goes_on)  # of a run, or a stay at an odd level, one date is drawn: it is odd however long it lasts
+        result[name] = (score, limit | (found & normal & (score >= SUSPECT)))
     return result
 
 
 def _arrays(table: pa.Table) -> dict[str, np.ndarray]:
-    keys = [integers(table, c, -(1 << 62)) for c in ("permno", "lineno", "block")]
+    keys = [integers(table, c, -(1 << 62)) for c in ("permno", "lineno", "block", "part")]
     cuts = starts(*keys)
     source = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    with np.errstate(over="ignore"):
+    with np.errstate(over="ignore"):  # parts of a group share their trees
         key = mixed(keys[0].astype(np.uint64)) ^ mixed(keys[1].astype(np.uint64) + np.uint64(77)) ^ mixed(keys[2].astype(np.uint64) + np.uint64(991))
     cols = {c: numbers(table, c) for c in ("ret", "prc", "shrout", "cfacpr", "cfacshr")}
     return cols | {"source": source, "key": key, "date": integers(table, "date")}
 
 
-FOUND = pa.schema([("obs_id", pa.int64()), ("field", pa.string()), ("score", pa.float64())])
+GROUP = ["permno", "lineno", "block", "part"]
 
 
 def _kernel(everything: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in complete_groups(batches, ["permno", "lineno", "block"]):
+        for table in complete_groups(batches, GROUP):
             with np.errstate(all="ignore"):
                 result = judge(_arrays(table))
             own = integers(table, "own").astype(bool)
@@ -313,7 +318,28 @@ def _kernel(everything: bool):
     return run
 
 
-def readings(dsf: DataFrame, everything: bool = False) -> DataFrame:
+def _parts(rows: DataFrame, hot_rows: int) -> DataFrame:
+    """``rows`` with a part, 0 but for groups of more than ``hot_rows`` rows.
+
+    A reading depends on the valid deliveries of its group and on itself, so
+    the deliveries of a hot group are spread over parts, each of which also
+    gets the valid deliveries as context.
+    """
+    key = GROUP[:3]
+    hot = cut(rows.groupBy(*key).count().where(F.col("count") > hot_rows).select(*key, F.ceil(F.col("count") / hot_rows).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return rows.withColumn("part", F.lit(0))
+    told = hot.select(*(F.col(k).alias(f"hot_{k}") for k in key), "parts")
+    match = functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in key))
+    marked = rows.join(told, match, "left").drop(*(f"hot_{k}" for k in key))
+    spread_ = marked.withColumn("part", F.coalesce(F.pmod(F.xxhash64("obs_id"), "parts"), F.lit(0)).cast("int")).drop("parts")
+    held = [c for c in rows.columns if c not in (*key, "own", "date")]
+    latest = marked.where("parts is not null").groupBy(*key, "date", "parts").agg(F.max(F.struct("loadts", "obs_id", *(c for c in held if c not in ("loadts", "obs_id")))).alias("v"))
+    context = latest.select(*key, "date", *(F.col(f"v.{c}").alias(c) for c in held), F.lit(False).alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return spread_.unionByName(context)
+
+
+def readings(dsf: DataFrame, everything: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Implausible readings of a daily file: obs_id, field ('ret', 'prc', 'shrout'), score.
 
     With ``everything`` each reading comes out, with its score and ``flagged``.
@@ -325,12 +351,7 @@ def readings(dsf: DataFrame, everything: bool = False) -> DataFrame:
     day = F.coalesce(F.unix_date("date"), F.lit(0))
     block = lambda d: F.floor(d / BLOCK_DAYS).cast("int")
     low, high = block(day - MARGIN_DAYS), block(day + MARGIN_DAYS)
-    rows = (
-        dsf.select("permno", "lineno", "obs_id", "date", "ret", "prc", "shrout", "cfacpr", "cfacshr", "loadts", block(day).alias("home"), F.explode(F.sequence(low, high)).alias("block"))
-        .withColumn("own", F.col("home") == F.col("block"))
-        .drop("home")
-        .repartition("permno", "lineno", "block")
-        .sortWithinPartitions("permno", "lineno", "block", "date", "loadts", "obs_id")
-        .select("permno", "lineno", "block", "own", "obs_id", "date", "ret", "prc", "shrout", "cfacpr", "cfacshr")
-    )
+    values = ["ret", "prc", "shrout", "cfacpr", "cfacshr"]
+    rows = dsf.select("permno", "lineno", "obs_id", "date", *values, "loadts", block(day).alias("home"), F.explode(F.sequence(low, high)).alias("block")).withColumn("own", F.col("home") == F.col("block")).drop("home")
+    rows = _parts(rows, hot_rows).repartition(*GROUP).sortWithinPartitions(*GROUP, "date", "loadts", "obs_id").select(*GROUP, "own", "obs_id", "date", *values)
     return rows.mapInArrow(_kernel(everything), "obs_id bigint, field string, score double" + ", flagged boolean" * everything)

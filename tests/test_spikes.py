@@ -2,8 +2,8 @@ import datetime as dt
 
 import numpy as np
 
-from panelforge.operators import forest
-from panelforge.operators.spikes import readings
+from panelforge.operators import forest, spikes
+from panelforge.operators.spikes import judge, readings
 
 D0 = dt.date(2019, 1, 1)
 KIND = "obs_id bigint, permno bigint, lineno int, date date, ret double, prc double, shrout double, cfacpr double, cfacshr double, loadts timestamp, block string"
@@ -77,8 +77,70 @@ def test_every_reading_is_scored_alike_however_rows_are_spread(spark):
 
 
 def test_forest_isolates_an_outlier():
-    x = np.random.default_rng(0).normal(size=(200, 3))
-    x[17] = 30
-    s = forest.scores(x, np.array([0, 200]), np.array([5], dtype=np.uint64))
-    assert s.argmax() == 17 and ((s > 0) & (s < 1)).all()
-    assert len(forest.scores(x[:0], np.array([0]), np.zeros(0, dtype=np.uint64))) == 0
+    x = np.abs(np.random.default_rng(0).normal(size=(200, 3)))
+    x[17] = 20
+    every = np.ones(200, dtype=bool)
+    s = forest.scores(x, np.array([0, 200]), np.array([5], dtype=np.uint64), every)
+    assert s.argmax() == 17 and s[17] > 0.6 and np.sort(s)[-2] < 0.5 and ((s > 0) & (s < 1)).all()
+    assert len(forest.scores(x[:0], np.array([0]), np.zeros(0, dtype=np.uint64), every[:0])) == 0
+    both = forest.scores(np.r_[x, x], np.array([0, 200, 400]), np.array([9, 5], dtype=np.uint64), np.r_[every, ~every])
+    assert (both[200:] == s).all()  # sources do not touch, and one without a row to draw is drawn from whole
+
+
+def _swinging(permno, seed, n=300, share=0.25):
+    """A listing that goes up and comes back again by habit, with one move beyond that."""
+    rows, rng = _listing(permno, n, seed), np.random.default_rng([seed, 99])
+    level = rng.normal(0, 0.01, n) + np.where(rng.random(n) < share, rng.uniform(0.26, 0.4, n), 0.0)
+    level[149:152] = 0.0, 2.5, 0.0
+    ret = np.r_[0.0, np.expm1(np.diff(level))]
+    for i, row in enumerate(rows):
+        row[5], row[4] = float(round(20 * np.exp(level[i]), 4)), float(ret[i])
+    rows[150][4], rows[151][4] = 0.0, 0.0
+    return rows
+
+
+def _columns(rows):
+    n = len(rows)
+    day = np.array([(r[3] - dt.date(1970, 1, 1)).days for r in rows])
+    values = {c: np.array([r[k] for r in rows], dtype=float) for k, c in ((4, "ret"), (5, "prc"), (6, "shrout"), (7, "cfacpr"), (8, "cfacshr"))}
+    return values | {"source": np.zeros(n, dtype=np.int64), "key": np.full(n, 11, dtype=np.uint64), "date": day}
+
+
+def test_the_forest_decides_what_is_odd(monkeypatch):
+    """With constant scores the rows are others: the check alone takes habits for errors, and without odd readings there is none."""
+    cases = [_columns(_swinging(1, seed)) for seed in range(12)]
+
+    def flags():
+        return [set(np.flatnonzero(judge(c)["prc"][1]).tolist()) for c in cases]
+
+    own = flags()
+    assert all(150 in f for f in own) and sum(map(len, own)) <= 30
+    monkeypatch.setattr(spikes, "scores", lambda features, *rest: np.ones(len(features)))
+    check_alone = flags()
+    assert sum(map(len, check_alone)) > 20 * sum(map(len, own))
+    monkeypatch.setattr(spikes, "scores", lambda features, *rest: np.zeros(len(features)))
+    assert not any(flags())
+
+
+def test_a_hot_listing_is_judged_in_parts_with_the_same_result(spark):
+    """Deliveries of every date many times over, equal, corrected and wrong, in one listing that holds most rows."""
+    rows, rng = _listing(1), np.random.default_rng(3)
+    rows[50][5] *= 100
+    for i in range(80, 86):
+        rows[i][6] *= 10
+    many = []
+    for k in range(12):
+        for i, row in enumerate(rows):
+            again = list(row)
+            again[0], again[9] = row[0] + 1_000_000 * (k + 1), row[9] + dt.timedelta(days=k + 1)
+            if rng.random() < 0.02:
+                again[int(rng.choice([4, 5, 6]))] *= 50
+            many.append(again)
+    df = spark.createDataFrame(rows + many + _listing(2, 60) + [[8, None, None, None, None, 0.0, None, None, None, None, None]], KIND)
+
+    def found(hot):
+        return sorted((r["obs_id"], r["field"], r["score"], r["flagged"]) for r in readings(df, everything=True, hot_rows=hot).collect())
+
+    whole = found(10**9)
+    assert len(whole) == 3 * (13 * 260 + 61) and whole == found(300)
+    assert sum(f for *_, f in whole) > 100
