@@ -52,25 +52,29 @@ from rolled
 """
 
 
-def p2_filled(spark: SparkSession, folder: str) -> DataFrame:
-    """delist with dlret and dlstcd filled, and how.
+def fill_delistings(delist: DataFrame) -> DataFrame:
+    """Every row of ``delist`` with dlret and dlstcd filled, and how.
 
     Disguised values (NaN, a dlret below -1 or not finite, a dlstcd outside 100
     to 699) count as missing. Rows are kept one for one, repeated ones too.
+    Losses are compared on a log scale, as most are near 0 or near all. The
+    parents are the hundred of dlstcd, the size of dlret and the year.
     """
-    delist = table(spark, folder, "delist")
     sound = delist.withColumn("dlret", F.when((F.col("dlret") >= -1) & (F.col("dlret") < float("inf")), F.col("dlret"))).withColumn("dlstcd", F.when(F.col("dlstcd").between(100, 699), F.col("dlstcd")))
-    lag = F.datediff("recdt", "dlstdt")
     features = (
-        sound.withColumn("kind", (F.col("dlstcd") / 100).cast("int").cast("string"))
-        .withColumn("loss", F.when(F.col("dlret").isNotNull(), F.least("dlret", F.lit(1.0))))  # least() would skip a null
-        .withColumn("sign", F.when(F.col("dlret") < -0.2, "loss").when(F.col("dlret").isNotNull(), "kept"))
-        .withColumn("lag", F.when(lag >= 0, F.log1p(lag)))
-        .withColumn("period", F.year("dlstdt").cast("double"))
+        sound.withColumn("kind", F.floor(F.col("dlstcd") / 100).cast("string"))
+        .withColumn("code", F.col("dlstcd").cast("string"))
+        .withColumn("loss", F.signum("dlret") * F.log1p(F.abs("dlret") / 0.02))
+        .withColumn("size", F.when(F.col("dlret") < -0.2, "loss").when(F.col("dlret").isNotNull(), "kept"))
+        .withColumn("year", F.year("dlstdt"))
     )
-    model = impute.KPrototypes(["loss", "lag", "period"], ["kind", "sign"], k=16, gamma=6.0)
-    parent = features.withColumn("parent", F.coalesce("kind", "sign"))
-    out = impute.fill_missing(parent, {"dlret": "median", "dlstcd": "mode"}, model, "parent")
+    model = impute.KPrototypes(["loss"], {"kind": 4.0, "code": 25.0, "size": 1.0}, k=40)
+    return impute.fill_missing(features, {"dlret": "median", "dlstcd": "mode"}, model, ["kind", "size", "year"])
+
+
+def p2_filled(spark: SparkSession, folder: str) -> DataFrame:
+    """delist with dlret and dlstcd filled, and how."""
+    out = fill_delistings(table(spark, folder, "delist"))
     return out.select("delist_id", "permno", text("dlstdt").alias("dlstdt"), "dlret_filled", "dlret_method", "dlstcd_filled", "dlstcd_method")
 
 
