@@ -1,11 +1,12 @@
 """References to records that do not exist.
 
-Every change is a delta: a referring row adds one reference to its key, a
-record adds one to what the key ever held and to what exists now, and its
-withdrawal takes one from what exists. The signed counts of a key are sums of
-deltas, so late, repeated and out-of-order changes need no replay: the deltas
-of a new load are added to the counts of the former. Keys with references and
-without existence form the current orphan report.
+Every change is a signed delta on its key: a referring row adds one reference
+and its removal takes one, a record adds one to what the key ever held and to
+what exists, and a withdrawal takes one from what exists, whenever either
+arrives. The counts of a key are sums of deltas, so late, repeated and
+out-of-order changes need no replay: the deltas of a load are added to the
+counts of the former. Keys with references and without existence form the
+current orphan report.
 
 Scale: counts are summed before the shuffle, so a hot key is one partial row a
 task. Only the keys in question go back to the referring rows.
@@ -22,22 +23,40 @@ from panelforge.operators.lookup import lookup_join
 STATE = ["refs", "ever", "live", "first_valid", "first_known", "first_ref", "first_arrival"]
 
 
+def _delta(rows: DataFrame, **parts: str | int) -> DataFrame:
+    """A delta per row: counts where given as numbers, days where given as columns, else nothing."""
+    counts = [F.lit(parts.get(c, 0)).cast("bigint").alias(c) for c in STATE[:3]]
+    firsts = [(F.col(parts[c]) if c in parts else F.lit(None)).cast("date").alias(c) for c in STATE[3:]]
+    return rows.where("key is not null").select("key", *counts, *firsts)
+
+
+def made(records: DataFrame) -> DataFrame:
+    """Deltas of new records: key, valid (start of validity), known."""
+    return _delta(records, ever=1, live=1, first_valid="valid", first_known="known")
+
+
+def withdrawn(records: DataFrame) -> DataFrame:
+    """Deltas of withdrawals: key. A withdrawal may come before its record."""
+    return _delta(records, live=-1)
+
+
+def referred(references: DataFrame) -> DataFrame:
+    """Deltas of referring rows: key, day, arrival."""
+    return _delta(references, refs=1, first_ref="day", first_arrival="arrival")
+
+
+def removed(references: DataFrame) -> DataFrame:
+    """Deltas of removed referring rows: key. First days, which can't be taken back, only tell which keys are looked at."""
+    return _delta(references, refs=-1)
+
+
 def deltas(records: DataFrame, references: DataFrame) -> DataFrame:
-    """The change deltas of ``records`` (key, valid, known, gone) and ``references`` (key, day, arrival)."""
-    empty = F.lit(None).cast("date")
-    made = records.where("key is not null").select(
-        "key", F.lit(0).cast("bigint").alias("refs"), F.lit(1).cast("bigint").alias("ever"), F.when(F.col("gone").isNull(), 1).otherwise(0).cast("bigint").alias("live"),
-        F.col("valid").alias("first_valid"), F.col("known").alias("first_known"), empty.alias("first_ref"), empty.alias("first_arrival"),
-    )
-    used = references.where("key is not null").select(
-        "key", F.lit(1).cast("bigint").alias("refs"), F.lit(0).cast("bigint").alias("ever"), F.lit(0).cast("bigint").alias("live"),
-        empty.alias("first_valid"), empty.alias("first_known"), F.col("day").alias("first_ref"), F.col("arrival").alias("first_arrival"),
-    )
-    return made.unionByName(used)
+    """The deltas of a load of ``records`` (key, valid, known, gone: withdrawn since, or null) and ``references`` (key, day, arrival)."""
+    return made(records).unionByName(withdrawn(records.where("gone is not null"))).unionByName(referred(references))
 
 
 def merge_counts(*parts: DataFrame) -> DataFrame:
-    """Add deltas and former counts, both with the columns of STATE."""
+    """New counts from former counts and deltas, all with key and the columns of STATE."""
     whole = parts[0].select("key", *STATE)
     for part in parts[1:]:
         whole = whole.unionByName(part.select("key", *STATE))

@@ -145,6 +145,35 @@ select tab, row_id, period, reason from judged where reason is not null
 P4_REPORT_SQL = f"select tab, period, reason, count(*) as n_rows from ({P4_SQL}) group by all"
 
 
+def p4_state(spark: SparkSession, folder: str, first_load: str = "2021-12-31") -> DataFrame:
+    """The orphan keys, from counts kept over two loads.
+
+    The first load holds what was known by ``first_load``. The second holds the
+    records, withdrawals and referring rows that came later, so a record of the
+    first may be withdrawn in the second.
+    """
+    records, rows = _records(spark, folder), _references(spark, folder)
+    early = lambda c: F.coalesce(F.col(c) <= F.lit(first_load).cast("date"), F.lit(True))
+    gone = records.where("gone is not null")
+
+    def load(held) -> DataFrame:
+        return orphans.made(records.where(held("known"))).unionByName(orphans.withdrawn(gone.where(held("gone")))).unionByName(orphans.referred(rows.where(held("arrival"))))
+
+    former = cut(orphans.merge_counts(load(early)))
+    counts = orphans.merge_counts(former, load(lambda c: ~early(c)))
+    return orphans.orphan_keys(counts).withColumnRenamed("key", "permno")
+
+
+P4_STATE_SQL = """
+with refs as (
+  select permno, count(*) as refs from (select permno from dsf union all select permno from delist) where permno is not null group by permno
+), known as (
+  select permno, count(*) filter (where wddt is null) as live from names group by permno
+)
+select permno, refs, case when live is null then 'missing' else 'withdrawn' end as reason from refs left join known using (permno) where coalesce(live, 0) = 0
+"""
+
+
 def _as_known(spark: SparkSession, folder: str) -> DataFrame:
     dsf = table(spark, folder, "dsf", "obs_id", "permno", "date")
     # a record matters only for securities that have rows; names holds many more
@@ -243,5 +272,5 @@ union all
 select tab, 'gap', permno, strftime(b + 1, '%Y-%m-%d'), strftime(follows - 1, '%Y-%m-%d') from following where follows is not null
 """
 
-QUERIES = {f.__name__: f for f in (p1_rolling, p2_found, p2_filled, p3_found, p3_scores, p4_found, p4_report, p5_found, p5_asof, p7_found)}
-SQL = {"p1_rolling": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p4_report": P4_REPORT_SQL, "p5_found": P5_SQL, "p5_asof": P5_ASOF_SQL, "p7_found": P7_SQL}
+QUERIES = {f.__name__: f for f in (p1_rolling, p2_found, p2_filled, p3_found, p3_scores, p4_found, p4_report, p4_state, p5_found, p5_asof, p7_found)}
+SQL = {"p1_rolling": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p4_report": P4_REPORT_SQL, "p4_state": P4_STATE_SQL, "p5_found": P5_SQL, "p5_asof": P5_ASOF_SQL, "p7_found": P7_SQL}

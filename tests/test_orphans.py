@@ -27,6 +27,24 @@ def test_counts_of_deltas_merge_in_any_order(spark):
     assert {(r["key"], r["refs"], r["reason"]) for r in orphans.orphan_keys(whole).collect()} == {(9, 2, "missing"), (2, 1, "withdrawn")}
 
 
+def _report(counts):
+    return {(r["key"], r["refs"], r["reason"]) for r in orphans.orphan_keys(counts).collect()}
+
+
+def test_late_withdrawals_late_records_and_removed_references(spark):
+    """Counts are carried from load to load; each load brings deltas of either sign."""
+    rec = lambda *keys: spark.createDataFrame([(k, D(1), D(1), None) for k in keys], REC)
+    ref = lambda *keys: spark.createDataFrame([(i, k, D(2), D(2), "x") for i, k in enumerate(keys)], REF)
+    counts = orphans.merge_counts(orphans.made(rec(1, 1, 2)), orphans.referred(ref(1, 2, 3, 3, 4)))
+    assert _report(counts) == {(3, 2, "missing"), (4, 1, "missing")}
+    counts = orphans.merge_counts(counts, orphans.withdrawn(rec(2, 1)), orphans.made(rec(3)))  # one of two records of 1, the only one of 2; 3 arrives late
+    assert _report(counts) == {(2, 1, "withdrawn"), (4, 1, "missing")}
+    counts = orphans.merge_counts(counts, orphans.removed(ref(4)), orphans.withdrawn(rec(1, 5)), orphans.referred(ref(5)))  # the withdrawal of 5 comes before its record
+    assert _report(counts) == {(2, 1, "withdrawn"), (1, 1, "withdrawn"), (5, 1, "missing")}
+    counts = orphans.merge_counts(counts, orphans.made(rec(5)), orphans.made(rec(2)))
+    assert _report(counts) == {(1, 1, "withdrawn"), (5, 1, "withdrawn")}
+
+
 def test_empty(spark):
     records, refs = _frames(spark)
     assert orphans.orphan_rows(records, refs.limit(0), "row_id").collect() == []
