@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 def valid_rows(dsf: DataFrame, *values: str) -> DataFrame:
     """One row per (permno, lineno, date): the one with the latest loadts, then the highest obs_id.
 
-    Rows are hashed by (permno, date), which also serves a later aggregation
-    over a permno's lines on a date; no date of even a pooled permno is large.
+    Every task reduces what it reads to a row a listing and date before
+    anything moves, so redeliveries of a day do not.
     A null loadts counts as earliest; null keys form groups of their own.
     """
     newest = F.max(F.struct("loadts", "obs_id", *values)).alias("v")
     return (
         dsf.select("permno", "lineno", "date", "loadts", "obs_id", *values)
-        .repartition("permno", "date")
         .groupBy("permno", "lineno", "date")
         .agg(newest)
         .select("permno", "lineno", "date", *(F.col(f"v.{c}").alias(c) for c in values))

@@ -24,6 +24,6 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str =
     lookup = cut(lookup)
     if lookup.count() <= rows:
         return facts.join(F.broadcast(lookup), keys, how)
-    spread = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
+    spread = F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(salts)).cast("int")  # equal rows are spread as well
     copies = lookup.withColumn("__salt", F.explode(F.array(*map(F.lit, range(salts)))))
     return facts.withColumn("__salt", spread).join(copies, [*keys, "__salt"], how).drop("__salt")

@@ -23,7 +23,7 @@ def p1_rolling(spark: SparkSession, folder: str) -> DataFrame:
     day = valid_rows(dsf, "ret").groupBy(F.col("permno").alias("entity"), F.col("date").alias("day"))
     daily = day.agg(F.coalesce(F.sum("ret"), F.lit(0.0)).alias("sum"), F.count("ret").alias("n"), F.max("ret").alias("max"), F.min("ret").alias("min"))
     daily = daily.withColumn("max", F.coalesce("max", F.lit(float("-inf")))).withColumn("min", F.coalesce("min", F.lit(float("inf"))))
-    bounds = dsf.where("date is not null").groupBy(F.col("permno").alias("entity")).agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    bounds = daily.where("day is not null").groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last"))
     totals = rolling.rolling_totals(daily, bounds)
     named = [f"{x}_{w}" for w in (7, 30) for x in ("sum", "n", "avg", "max", "min")]
     return totals.select(F.col("entity").alias("permno"), text("day").alias("date"), *named)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import environments, linalg, walk
 from panelforge.operators import audit, backtest, estimation, inference, moments, replications, trigger
-from panelforge.plans import block_queries, views
-from panelforge.plans.block_queries import TRIG, _snapshot, _triggers
+from panelforge.plans import block_queries, dense_sql, views
+from panelforge.plans.block_queries import TRIG, _r, _snapshot, _triggers
 from panelforge.plans.views import P, TOTAL
 from panelforge.session import cut
 from panelforge.sources import sinks, table, tables
@@ -50,7 +50,7 @@ def _pairs(pos: int, assets: np.ndarray, s: np.ndarray) -> pd.DataFrame:
 
 def i13_nonlinear(spark, folder):
     """Nonlinear shrinkage of each window's covariance."""
-    return _by_window(spark, folder, lambda pos, assets, m: _pairs(pos, assets, linalg.nonlinear_shrinkage(m)), PAIRS)
+    return _r(_by_window(spark, folder, lambda pos, assets, m: _pairs(pos, assets, linalg.nonlinear_shrinkage(m)), PAIRS), 10, "s")
 
 
 def i22_pairwise(spark, folder):
@@ -62,7 +62,7 @@ def i22_pairwise(spark, folder):
         f = linalg.pairwise_factor(m)
         return _pairs(pos, assets, f @ f.T)
 
-    return _by_window(spark, folder, kernel, PAIRS)
+    return _r(_by_window(spark, folder, kernel, PAIRS), 10, "s")
 
 
 def i24_bulk(spark, folder):
@@ -72,21 +72,21 @@ def i24_bulk(spark, folder):
         s = linalg.Spectrum(linalg.sample_covariance(m), len(m))
         return pd.DataFrame([{"pos": pos, "variance": s.variance, "k": s.k, "edge": linalg.noise_edge(m.shape[1] / len(m), s.variance)}])
 
-    return _by_window(spark, folder, kernel, "pos bigint, variance double, k int, edge double")
+    return _r(_by_window(spark, folder, kernel, "pos bigint, variance double, k int, edge double"), 9, "variance", "edge")
 
 
 def i25_spectrum(spark, folder):
     """Eigenvalues of correlation and covariance at every rebalance."""
     _, _, shared = _shared(spark, folder)
     each = F.posexplode(F.arrays_zip("values", "cov_values")).alias("rank", "z")
-    return shared.select("pos", "n", "k", "variance", each).select("pos", "n", "k", "variance", "rank", F.col("z.values").alias("value"), F.col("z.cov_values").alias("cov_value"))
+    return shared.select("pos", "n", "k", "variance", each).select("pos", "n", "k", F.round("variance", 9).alias("variance"), "rank", F.round("z.values", 9).alias("value"), F.round("z.cov_values", 11).alias("cov_value"))
 
 
 def i26_absorption(spark, folder):
     """The absorption ratio of every rebalance, components held from the first."""
     _, _, shared = _shared(spark, folder)
     shared = cut(shared)
-    return estimation.absorption(shared, estimation.frozen_k(shared))
+    return _r(estimation.absorption(shared, estimation.frozen_k(shared)), 9, "x")
 
 
 def i27_features(spark, folder):
@@ -94,7 +94,7 @@ def i27_features(spark, folder):
     _, _, shared = _shared(spark, folder)
     each = shared.select("pos", "k", "features", F.posexplode("permnos").alias("i", "permno"))
     own = F.aggregate(F.slice("features", F.col("i") * F.col("k") + 1, F.col("k")), F.lit(0.0), lambda a, v: a + v * v)
-    return each.select("pos", "permno", own.alias("length"))
+    return each.select("pos", "permno", F.round(own, 8).alias("length"))
 
 
 def i29_tree(spark, folder):
@@ -103,6 +103,16 @@ def i29_tree(spark, folder):
     return estimation.labelled(shared)
 
 
+def i29_clusters(spark, folder):
+    """The clusters of every rebalance alone."""
+    return i29_tree(spark, folder).select("pos", "permno", "label")
+
+
+def i30_clusters(spark, folder):
+    """The clusters in the space of correlation distances alone."""
+    return i30_single_linkage(spark, folder).select("pos", "permno", "label")
+
+
 def i30_single_linkage(spark, folder):
     """The same in the space of correlation distances."""
     _, _, shared = _shared(spark, folder, space="correlation")
@@ -115,7 +125,7 @@ def i31_cluster_counts(spark, folder):
 
 
 def i37_equal_risk(spark, folder):
-    """Equal risk weights of every rebalance and the largest gap of a contribution from its share."""
+    """Equal risk weights of every rebalance; each contribution must be its share."""
     _, _, shared = _shared(spark, folder)
 
     def one(frames):
@@ -125,17 +135,19 @@ def i37_equal_risk(spark, folder):
                 cov = np.asarray(row.cov).reshape(row.n, row.n)
                 w = linalg.equal_risk_weights(cov)
                 rc = w * (cov @ w)
-                out += [(int(row.pos), int(p), float(x), float(abs(rc / rc.sum() * row.n - 1).max())) for p, x in zip(row.permnos, w)]
-            yield pd.DataFrame(out, columns=["pos", "permno", "w", "gap"])
+                if abs(rc / rc.sum() * row.n - 1).max() > 1e-6:
+                    raise ValueError(f"contributions at {row.pos} are not equal")
+                out += [(int(row.pos), int(p), float(x)) for p, x in zip(row.permnos, w)]
+            yield pd.DataFrame(out, columns=["pos", "permno", "w"])
 
-    return shared.select("pos", "n", "permnos", "cov").mapInPandas(one, "pos bigint, permno bigint, w double, gap double")
+    return _r(shared.select("pos", "n", "permnos", "cov").mapInPandas(one, "pos bigint, permno bigint, w double"), 7, "w")
 
 
 def i39_least_variance(spark, folder):
     """Least variance weights of every rebalance, negative ones cut."""
     _, _, shared = _shared(spark, folder)
     w = estimation.strategy_weights(shared, shared.select("pos", F.lit(False).alias("fired")), {"MINVAR": ("minvar", "never")})
-    return w.select("pos", "permno", "w")
+    return _r(w.select("pos", "permno", "w"), 8, "w")
 
 
 def i41_shared(spark, folder):
@@ -168,7 +180,7 @@ def i43_ar_trigger(spark, folder):
     _, _, shared = _shared(spark, folder)
     shared = cut(shared)
     ar = estimation.absorption(shared, estimation.frozen_k(shared)).withColumn("run", F.lit(0))
-    return trigger.trigger_inputs(ar, ["run"]).select("pos", "x", "d", "sigma", trigger.fired(1.0).alias("fired"))
+    return _r(trigger.trigger_inputs(ar, ["run"]).select("pos", "x", "d", "sigma", trigger.fired(1.0).alias("fired")), 9, "x", "d", "sigma")
 
 
 def i45_inherited(spark, folder):
@@ -364,6 +376,10 @@ def _change(labels: DataFrame, lag: int) -> DataFrame:
 
 def i87_structural(spark, folder):
     """Absorption ratio, trigger inputs and change of clusters at every rebalance."""
+    return _r(_structural_rows(spark, folder), 9, "x", "d", "sigma", "vi")
+
+
+def _structural_rows(spark, folder):
     ar, labels = _structural_pass(spark, folder)
     inputs = trigger.trigger_inputs(ar.withColumn("run", F.lit(0)), ["run"])
     return inputs.join(_change(labels, 1), "reb", "left").select("reb", "pos", "x", "d", "sigma", F.col("sigma").isNotNull().alias("eligible"), "vi")
@@ -371,7 +387,7 @@ def i87_structural(spark, folder):
 
 def i88_candidates(spark, folder):
     """Every candidate with its events, timing, overlap, shift and adjusted p-value, and whether it passes."""
-    sp = i87_structural(spark, folder).where("eligible").withColumn("j", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pos")) - 1).cast("bigint")).persist()
+    sp = _structural_rows(spark, folder).where("eligible").withColumn("j", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pos")) - 1).cast("bigint")).persist()
     size = sp.count()
     each = sp.withColumn("gamma", F.explode(F.array(*map(F.lit, (0.5, 1.0, 1.5, 2.0))))).withColumn("fired", F.coalesce(F.abs("d") > F.col("gamma") * F.col("sigma"), F.lit(False)))
     sets = each.where("fired").select("gamma", "j")
@@ -410,7 +426,7 @@ def i92_sweep(spark, folder):
         out = one if out is None else out.unionByName(one)
     for k in (1, 2, 4):
         out = out.unionByName(estimation.absorption(shared, k).agg(F.avg("x").alias("value")).select(F.lit("absorption").alias("what"), F.lit(k).alias("at"), "value"))
-    return out
+    return _r(out, 9, "value")
 
 
 def i97_mechanism(spark, folder):
@@ -554,7 +570,7 @@ J5 = "select event_id, case when user_id % 3 = 0 and user_id < 150 and cast(ts a
 QUERIES = {
     f.__name__: f
     for f in (
-        i13_nonlinear, i22_pairwise, i24_bulk, i25_spectrum, i26_absorption, i27_features, i29_tree, i30_single_linkage, i31_cluster_counts, i37_equal_risk, i39_least_variance, i41_shared, i42_frozen, i43_ar_trigger, i45_inherited,
+        i13_nonlinear, i22_pairwise, i24_bulk, i25_spectrum, i26_absorption, i27_features, i29_tree, i29_clusters, i30_single_linkage, i30_clusters, i31_cluster_counts, i37_equal_risk, i39_least_variance, i41_shared, i42_frozen, i43_ar_trigger, i45_inherited,
         i49_runner, i50_registry, i56_sweep, i60_environments, i93_null_matrix, i95_gate, i96_contrast, i94_control, i69_placebo, i80_density, i81_burstiness, i77_bootstrap_means, i77_bootstrap_means_full, i73_bootstrap_full, i83_size, i84_power, i85_bracket, i87_structural,
         i88_candidates, i89_selection, i92_sweep, i97_mechanism, i98_control, i106_intervals, a02_parquet, a10_csv, a11_json, a12_jsonl, i101_chain, a13_numbers, i99_manifest, i100_numbers,
         j1_tumbling, j1_sliding, j2_sessions, j3_closed, j4_online, j5_spells,
@@ -563,7 +579,7 @@ QUERIES = {
 for _name in ("a02_parquet", "a10_csv", "a11_json"):
     QUERIES[_name] = (lambda q: lambda spark, folder: q(spark, folder).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("mbrstartdt", "mbrenddt", "recdt")}))(QUERIES[_name])
 _MEMBERSHIP = "select mbr_id, permno, strftime(mbrstartdt, '%Y-%m-%d') as mbrstartdt, strftime(mbrenddt, '%Y-%m-%d') as mbrenddt, strftime(recdt, '%Y-%m-%d') as recdt from membership"
-SQL = {
+SQL = dense_sql.SQL | {
     "i50_registry": I50, "i77_bootstrap_means": I77, "i106_intervals": I106, "a02_parquet": _MEMBERSHIP, "a10_csv": _MEMBERSHIP, "a11_json": _MEMBERSHIP, "a13_numbers": A13, "i100_numbers": I100,
     "j1_tumbling": J1, "j1_sliding": J1_SLIDING, "j2_sessions": J2, "j4_online": J4, "j5_spells": J5,
 }

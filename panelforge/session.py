@@ -29,12 +29,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the shared checkpoint folder.
 
-    The folder is the one in ``spark.checkpoint.dir``; a folder of our own is
-    set only where the session names none, as in tests.
+    The folder is the one in ``spark.checkpoint.dir``. A folder of our own is
+    set only where the session names none and runs in one process, as in tests.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelforge-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="panelforge-")
