@@ -7,7 +7,7 @@ import json
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
@@ -17,7 +17,7 @@ EVENT = "touch_id bigint, timestamp string, provenance string, reason string, pr
 def event_hash(event: dict) -> str:
     """SHA-256 of an event without its own hash, as JSON with sorted keys."""
     body = {k: v for k, v in event.items() if k not in ("event_hash", "payload")}
-    return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
 class TouchLog:
@@ -57,10 +57,34 @@ class TouchLog:
             before = event["event_hash"]
 
 
-def chain_breaks(events: DataFrame) -> DataFrame:
-    """The events whose prev_hash is not the hash of the event before."""
-    before = F.coalesce(F.lag("event_hash").over(Window.partitionBy(F.lit(0)).orderBy("touch_id")), F.lit(GENESIS))
-    return events.withColumn("expected", before).where("prev_hash <> expected").select("touch_id")
+def touch_hash() -> Column:
+    """``event_hash`` of the events of a TouchLog, as a column."""
+    return F.sha2(F.to_json(F.struct("prev_hash", "provenance", "reason", "timestamp", "touch_id")), 256)
+
+
+def link_hash() -> Column:
+    """The hash of the events of ``hashed_chain``, as a column."""
+    return F.sha2(F.concat_ws("|", "prev_hash", "touch_id", F.coalesce("reason", F.lit("None"))), 256)
+
+
+def touches(events: DataFrame) -> DataFrame:
+    """provenance, n: accesses by kind, so that self-tests are told from others."""
+    return events.groupBy("provenance").agg(F.count("*").alias("n"))
+
+
+def chain_breaks(events: DataFrame, own: Column | None = None) -> DataFrame:
+    """touch_id, kind of every break: 'content' where an event's hash is not that of what it holds, 'link' where its prev_hash is not the hash of an earlier event, 'twice' where another event already follows that one.
+
+    Hashes are recomputed by ``own`` (link_hash unless given), and predecessors
+    are found by a join on the hash, so a log of any length is checked in parallel.
+    """
+    own = link_hash() if own is None else own
+    before = events.select(F.col("event_hash").alias("prev_hash"), F.col("touch_id").alias("__before")).groupBy("prev_hash").agg(F.min("__before").alias("__before"))
+    least = events.groupBy("prev_hash").agg(F.min("touch_id").alias("__first"))
+    met = events.join(before, "prev_hash", "left").join(least, "prev_hash", "left")
+    linked = F.when(F.col("prev_hash") == GENESIS, F.lit(True)).otherwise(F.coalesce(F.col("__before") < F.col("touch_id"), F.lit(False)))
+    kinds = F.array(F.when(own != F.col("event_hash"), "content"), F.when(~linked, "link"), F.when(F.col("touch_id") > F.col("__first"), "twice"))
+    return met.select("touch_id", F.explode(F.array_compact(kinds)).alias("kind"))
 
 
 def hashed_chain(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:

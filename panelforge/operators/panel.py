@@ -114,3 +114,31 @@ def coverage(spells: DataFrame, panel: DataFrame, days: DataFrame, start: str, e
     dates = spells.join(days.select("date"), F.col("date").between(F.col(start), F.col(end)))
     seen = panel.where("ret is not null").select("permno", "date", F.lit(1.0).alias("seen"))
     return dates.join(seen, ["permno", "date"], "left").groupBy(*keys).agg(F.avg(F.coalesce("seen", F.lit(0.0))).alias("coverage"), F.count("*").alias("n_dates"))
+
+
+def in_force(days: DataFrame, day: str, spells: DataFrame, start: str, end: str) -> DataFrame:
+    """Every pair of a row of ``days`` and a spell that holds on its ``day``, both ends included.
+
+    Spells are cut into months and meet days by month, so no range is joined
+    on its own. Null days and ends and reversed spells hold on no day. Columns
+    of both sides, which share none.
+    """
+    span = days.agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
+    low, high = F.greatest(F.col(start), F.lit(span["a"]).cast("date")), F.least(F.col(end), F.lit(span["b"]).cast("date"))
+    held = spells.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (low <= high))
+    by_month = held.withColumn("__month", F.explode(F.sequence(F.trunc(low, "month"), F.trunc(high, "month"), F.expr("interval 1 month"))))
+    met = days.withColumn("__month", F.trunc(day, "month")).join(by_month, "__month")
+    return met.where(F.col(day).between(F.col(start), F.col(end))).drop("__month")
+
+
+def following(keys: DataFrame, key: str, name: str, width: int = 1000) -> DataFrame:
+    """Each key (distinct integers) but the last with the next larger one.
+
+    Keys are ordered within buckets of ``width``; only the least key of each
+    bucket is ordered over all.
+    """
+    held = keys.where(F.col(key).isNotNull()).withColumn("__bucket", F.floor(F.col(key) / width))
+    least = held.groupBy("__bucket").agg(F.min(key).alias("__least"))
+    after = least.select("__bucket", F.lead("__least").over(Window.orderBy("__bucket")).alias("__after"))
+    inside = held.withColumn(name, F.lead(key).over(Window.partitionBy("__bucket").orderBy(key)))
+    return inside.join(after, "__bucket").withColumn(name, F.coalesce(name, "__after")).where(F.col(name).isNotNull()).drop("__bucket", "__after")

@@ -18,6 +18,8 @@ from panelforge.functions import environments, walk
 
 #: Bytes up to which a panel is broadcast to replications.
 PANEL_BYTES = 512 << 20
+#: Partitions of replications for each core.
+PER_CORE = 6
 
 
 def dense(panel: DataFrame) -> np.ndarray:
@@ -35,7 +37,29 @@ def grid(spark: SparkSession, names: list[str], reps: int, base: int) -> DataFra
     return g.select("x.environment", "rep", (F.lit(base) + 1000 * F.col("x.e") + F.col("rep")).cast("bigint").alias("seed"))
 
 
-def null_matrix(spark: SparkSession, real: np.ndarray, names: list[str], reps: int, rule: walk.Rule, strategies: tuple[str, ...], base: int = 20260101, partitions: int = 48) -> DataFrame:
+def over_cores(work: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``work`` of about ``rows`` rows in several partitions a core, at most one a row."""
+    cores = work.sparkSession.sparkContext.defaultParallelism
+    return work.repartition(max(1, min(rows, PER_CORE * cores)), *keys)
+
+
+def draws(spark: SparkSession, real: np.ndarray, names: list[str], reps: int, base: int) -> DataFrame:
+    """environment, rep, deviation, largest_mean, missing, missing_real of every draw of the null environments."""
+    shared = spark.sparkContext.broadcast(real)
+
+    def one(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples():
+                x, signal = environments.draw(row.environment, shared.value, int(row.seed))
+                out.append((row.environment, int(row.rep), float(np.nanstd(signal)), float(abs(np.nanmean(x, axis=0)).max()), int(np.isnan(x).sum()), int(np.isnan(shared.value).sum())))
+            yield pd.DataFrame(out, columns=["environment", "rep", "deviation", "largest_mean", "missing", "missing_real"])
+
+    work = over_cores(grid(spark, names, reps, base), reps * len(names), "environment", "rep")
+    return work.mapInPandas(one, "environment string, rep bigint, deviation double, largest_mean double, missing bigint, missing_real bigint")
+
+
+def null_matrix(spark: SparkSession, real: np.ndarray, names: list[str], reps: int, rule: walk.Rule, strategies: tuple[str, ...], base: int = 20260101) -> DataFrame:
     """environment, rep, strategy, sharpe, turnover, refits, fired, eligible of every replication."""
     shared = spark.sparkContext.broadcast(real)
 
@@ -48,7 +72,7 @@ def null_matrix(spark: SparkSession, real: np.ndarray, names: list[str], reps: i
                     out.append({"environment": row.environment, "rep": int(row.rep), "strategy": name, **told})
             yield pd.DataFrame(out, columns=["environment", "rep", "strategy", "sharpe", "turnover", "refits", "fired", "eligible"])
 
-    return grid(spark, names, reps, base).repartition(partitions, "environment", "rep").mapInPandas(one, "environment string, rep bigint, strategy string, sharpe double, turnover double, refits double, fired double, eligible double")
+    return grid(spark, names, reps, base).transform(lambda g: over_cores(g, reps * len(names), "environment", "rep")).mapInPandas(one, "environment string, rep bigint, strategy string, sharpe double, turnover double, refits double, fired double, eligible double")
 
 
 def placebo_threshold(spark: SparkSession, size: int, counts: list[int], draws: int, percentile: float = 0.95, chunk: int = 2000, seed: int = 11) -> DataFrame:
@@ -70,7 +94,7 @@ def placebo_threshold(spark: SparkSession, size: int, counts: list[int], draws:
                 yield pd.DataFrame({"events": int(row.events), "best": (both / (row.events + sizes - both)).max(axis=1).astype(float)})
 
     todo = [(n, c, min(chunk, draws - c * chunk)) for n in counts for c in range(-(-draws // chunk))]
-    work = spark.createDataFrame(todo or [(0, 0, 0)], "events int, chunk int, n int").where("n > 0").repartition(8)
+    work = spark.createDataFrame(todo or [(0, 0, 0)], "events int, chunk int, n int").where("n > 0").transform(lambda g: over_cores(g, len(todo), "events", "chunk"))
     return work.mapInPandas(one, "events int, best double").groupBy("events").agg(F.percentile("best", F.lit(percentile)).alias("threshold"))
 
 
@@ -87,7 +111,7 @@ def modal_share(spark: SparkSession, size: int, counts: list[int], draws: int =
                 yield pd.DataFrame([{"events": int(row.events), "m": float(np.median(share)), "low": float(np.quantile(share, 0.025)), "high": float(np.quantile(share, 0.975))}])
 
     todo = [(n,) for n in counts if n >= 2]
-    return spark.createDataFrame(todo or [(0,)], "events int").where("events > 0").repartition(8).mapInPandas(one, "events int, m double, low double, high double")
+    return spark.createDataFrame(todo or [(0,)], "events int").where("events > 0").transform(lambda g: over_cores(g, len(todo), "events")).mapInPandas(one, "events int, m double, low double, high double")
 
 
 def _blocks(n: int, length: int, rng: np.random.Generator, times: int) -> np.ndarray:
@@ -139,7 +163,7 @@ def power_curve(spark: SparkSession, x: np.ndarray, masks: dict[float, np.ndarra
                 out.append({"target": row.target, "delta": row.delta, "hit": float(adjusted[list(order).index(mine)] <= alpha)})
             yield pd.DataFrame(out)
 
-    work = spark.createDataFrame(todo, "target double, delta double, rep int, seed bigint").repartition(16, "target", "delta", "rep")
+    work = spark.createDataFrame(todo, "target double, delta double, rep int, seed bigint").transform(lambda g: over_cores(g, len(todo), "seed"))
     cells = work.mapInPandas(one, "target double, delta double, hit double").groupBy("target", "delta").agg(F.avg("hit").alias("power"), F.count("*").alias("reps"))
     return cells.withColumn("se", F.sqrt(F.col("power") * (1 - F.col("power")) / F.col("reps")))
 
@@ -156,5 +180,5 @@ def size_calibration(spark: SparkSession, size: int, rate: float, datasets: int,
                 out.append({"times": int(row.times), "hit": float(bootstrap_p(x, fired, 3, int(row.times), rng) <= 0.05)})
             yield pd.DataFrame(out)
 
-    work = spark.range(datasets).select(F.col("id").alias("dataset"), F.explode(F.array(*map(F.lit, times))).alias("times")).repartition(16)
+    work = spark.range(datasets).select(F.col("id").alias("dataset"), F.explode(F.array(*map(F.lit, times))).alias("times")).transform(lambda g: over_cores(g, datasets * len(times), "dataset", "times"))
     return work.mapInPandas(one, "times int, hit double").groupBy("times").agg(F.avg("hit").alias("size"), F.count("*").alias("datasets"))

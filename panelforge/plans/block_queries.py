@@ -275,7 +275,9 @@ def i55_reconciliation(spark, folder):
     return again.groupBy("strategy").agg(F.count("*").alias("n"), F.when(F.median(F.abs(F.col("gross") - F.col("own"))) < 1e-10, "OK").otherwise("OFF").alias("status"))
 
 
-I55 = f"with {WEIGHTS} select strategy, count(*) as n, 'OK' as status from (select distinct strategy, pos from daily) group by strategy"
+I55 = f"""with {WEIGHTS}, fd as (select strategy, pos, start, gross from gr where day = start),
+own as (select f.strategy, f.pos, any_value(gross) as gross, sum(w.w * coalesce(p.ret, {RF})) + (1 - sum(w.w)) * {RF} as own from fd f join w using (strategy, pos) left join p on p.permno = w.permno and p.pos = f.start group by 1, 2)
+select strategy, count(*) as n, case when median(abs(gross - own)) < 1e-10 then 'OK' else 'OFF' end as status from own group by strategy"""
 
 
 def i40_tilt(spark, folder):
@@ -501,14 +503,25 @@ def i75_bounds(spark, folder):
     return _r(inference.paired_bounds(_differences(spark, folder), ["strategy"], MARGIN), 7, "mean", "upper", "lower")
 
 
+def student_sql(sizes: str) -> str:
+    """CTEs tq: n and the one-sided 95 percent quantile of n - 1 degrees, for the n of ``sizes``: bisection on the finite sums of the distribution for whole degrees."""
+    odd = "2 / pi() * (th + case when df > 1 then sin(th) * list_sum(list_transform(range((df - 1) // 2), lambda j: exp(lgamma(j + 1.0::double) - lgamma(j + 1.5::double)) * sqrt(pi()) / 2 * power(cos(th), 2 * j + 1))) else 0 end)"
+    even = "sin(th) * list_sum(list_transform(range(df // 2), lambda j: exp(lgamma(j + 0.5::double) - lgamma(j + 1.0::double)) / sqrt(pi()) * power(cos(th), 2 * j)))"
+    return f"""tb(n, lo, hi, turn) as (
+  select n, 0.0::double, 700.0::double, 0 from (select distinct n from {sizes} where n > 1)
+  union all
+  select n, case when inside < 0.9 then mid else lo end, case when inside < 0.9 then hi else mid end, turn + 1
+  from (select *, case when df % 2 = 1 then {odd} else {even} end as inside from (select *, (lo + hi) / 2 as mid, n - 1 as df, atan((lo + hi) / 2 / sqrt(n - 1)) as th from tb where turn < 60))
+), tq as (select n, (lo + hi) / 2 as tq from tb where turn = 60)"""
+
+
 def _bounds_sql(source: str) -> str:
-    ts = ", ".join(f"({n}, {student_quantile(0.95, n - 1)!r}::double)" for n in range(2, 1200))
-    return f"""tq(n, tq) as (values {ts}), sb as (select strategy, count(*) as n, avg(d) as mean, stddev_samp(d) as sd from {source} group by strategy),
+    return f"""sb as (select strategy, count(*) as n, avg(d) as mean, stddev_samp(d) as sd from {source} group by strategy), {student_sql("sb")},
 bd as (select strategy, mean, mean + tq * sd / sqrt(n) as upper, mean - tq * sd / sqrt(n) as lower, n from sb join tq using (n))
 select strategy, round(mean, 7) as mean, round(upper, 7) as upper, round(lower, 7) as lower, n, case when upper <= {MARGIN}::double then 'PASS' when lower > {MARGIN}::double then 'FAIL' else 'INCONCLUSIVE' end as verdict from bd"""
 
 
-I75 = f"with {DIFF}, {_bounds_sql('dd')}"
+I75 = f"with recursive {DIFF}, {_bounds_sql('dd')}"
 
 
 def i76_controls(spark, folder):
@@ -516,7 +529,7 @@ def i76_controls(spark, folder):
     return _r(inference.paired_bounds(inference.location_shift(_differences(spark, folder), ["strategy"], 0.5), ["strategy"], MARGIN), 7, "mean", "upper", "lower")
 
 
-I76 = f"with {DIFF}, ls as (select strategy, d - avg(d) over (partition by strategy) + 0.5::double as d from dd), {_bounds_sql('ls')}"
+I76 = f"with recursive {DIFF}, ls as (select strategy, d - avg(d) over (partition by strategy) + 0.5::double as d from dd), {_bounds_sql('ls')}"
 
 
 def i93_gate(spark, folder):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.operators import moments
+from panelforge.operators import panel, moments
 from panelforge.plans import block_queries, views
 from panelforge.plans.block_queries import FIRED, HELD, TRIG
 from panelforge.plans.panel_queries import PANEL_SQL, _panel
@@ -59,8 +59,7 @@ join names using (permno) where date between namedt and nameendt"""
 def d03_members(spark, folder):
     """Distinct members at each month's end, by calendar month."""
     months = spark.range(1).select(F.explode(F.sequence(F.lit("2018-01-01").cast("date"), F.lit("2024-12-01").cast("date"), F.expr("interval 1 month"))).alias("m")).select(F.last_day("m").alias("d"))
-    m = table(spark, folder, "membership")
-    live = F.broadcast(months).join(m, F.col("d").between(F.col("mbrstartdt"), F.col("mbrenddt")))  # 84 rows
+    live = panel.in_force(months, "d", table(spark, folder, "membership"), "mbrstartdt", "mbrenddt")
     return live.groupBy(F.date_format("d", "yyyy-MM").alias("month")).agg(F.countDistinct("permno").alias("n"))
 
 
@@ -175,7 +174,7 @@ def h15_quantiles(spark, folder):
     return spark.createDataFrame([(n, round(block_queries.student_quantile(0.95, n - 1), 8)) for n in range(2, 31)], "n int, tq double")
 
 
-H15 = "select * from (values " + ", ".join(f"({n}, {round(block_queries.student_quantile(0.95, n - 1), 8)!r}::double)" for n in range(2, 31)) + ") v(n, tq)"
+H15 = f"with recursive sizes as (select n from range(2, 31) r(n)), {block_queries.student_sql('sizes')} select cast(n as integer) as n, round(tq, 8) as tq from tq"
 
 
 def i17_exact_pairs(spark, folder):

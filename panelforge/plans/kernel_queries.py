@@ -202,9 +202,6 @@ def i50_registry(spark, folder):
     return spark.createDataFrame([(n, a, p) for n, (a, p) in walk.STRATEGIES.items()], "strategy string, allocator string, policy string")
 
 
-I50 = "select * from (values " + ", ".join(f"('{n}', '{a}', '{p}')" for n, (a, p) in walk.STRATEGIES.items()) + ") v(strategy, allocator, policy)"
-
-
 def i56_sweep(spark, folder):
     """Sharpe ratios of strategies by estimator."""
     out = None
@@ -221,12 +218,7 @@ def _real(spark, folder):
 
 def i60_environments(spark, folder):
     """Deviation, mean and missing cells of one draw of each null environment."""
-    real = _real(spark, folder)
-    out = []
-    for i, name in enumerate([*environments.ENVIRONMENTS, "timing"]):
-        x, signal = environments.draw(name, real, 100 + i)
-        out.append((name, float(np.nanstd(signal)), float(abs(np.nanmean(x, axis=0)).max()), int(np.isnan(x).sum()), int(np.isnan(real).sum())))
-    return spark.createDataFrame(out, "environment string, deviation double, largest_mean double, missing bigint, missing_real bigint")
+    return replications.draws(spark, _real(spark, folder), [*environments.ENVIRONMENTS, "timing"], 1, 100)
 
 
 def i93_null_matrix(spark, folder):
@@ -471,7 +463,7 @@ MEMBERSHIP = "select * from membership"
 def a12_jsonl(spark, folder):
     """A chained log written as JSON lines and replayed: events by whether their link holds."""
     log = sinks.round_trip(_chain(spark, folder), "json")
-    return log.join(audit.chain_breaks(log).withColumn("broken", F.lit(True)), "touch_id", "left").groupBy(F.coalesce("broken", F.lit(False)).alias("broken")).agg(F.count("*").alias("n"))
+    return log.join(audit.chain_breaks(log).select("touch_id").distinct().withColumn("broken", F.lit(True)), "touch_id", "left").groupBy(F.coalesce("broken", F.lit(False)).alias("broken")).agg(F.count("*").alias("n"))
 
 
 def _chain(spark, folder):
@@ -480,8 +472,21 @@ def _chain(spark, folder):
 
 
 def i101_chain(spark, folder):
-    """Breaks of a log in which one event was taken out."""
-    return audit.chain_breaks(_chain(spark, folder).where("touch_id <> 17"))
+    """Breaks of a log in which one event was taken out, and one was changed and kept its hash."""
+    log = _chain(spark, folder).where("touch_id <> 17")
+    return audit.chain_breaks(log.withColumn("reason", F.when(F.col("touch_id") == 30, "other").otherwise(F.col("reason"))))
+
+
+CHAIN = f"""items as (select item_id, coalesce(suite, 'None') as suite, row_number() over (order by item_id) as k from eval_items),
+ch(k, touch_id, reason, prev_hash, event_hash) as (
+  select 0::bigint, 0::bigint, '', '', '{audit.GENESIS}'
+  union all
+  select i.k, i.item_id, i.suite, ch.event_hash, sha256(ch.event_hash || '|' || i.item_id || '|' || i.suite) from ch join items i on i.k = ch.k + 1
+)"""
+BROKEN = """select touch_id, 'content' as kind from log where event_hash <> sha256(prev_hash || '|' || touch_id || '|' || reason)
+union all select touch_id, 'link' from (select touch_id, prev_hash, lag(event_hash) over (order by touch_id) as before from log) where before is not null and prev_hash <> before"""
+I101 = f"with recursive {CHAIN}, log as (select touch_id, case when touch_id = 30 then 'other' else reason end as reason, prev_hash, event_hash from ch where k > 0 and touch_id <> 17) {BROKEN}"
+A12 = f"with recursive {CHAIN}, log as (select * from ch where k > 0) select b.touch_id is not null as broken, count(*) as n from log left join ({BROKEN}) b using (touch_id) group by 1"
 
 
 def a13_numbers(spark, folder):
@@ -532,10 +537,9 @@ J1_SLIDING = "select strftime(s, '%Y-%m-%d %H:%M:%S') as start, event_type, coun
 
 
 def j2_sessions(spark, folder):
-    """Sessions of users with a gap of six hours, over the whole file."""
-    e = table(spark, folder, "events", "user_id", "ts")
-    w = F.session_window("ts", "6 hours")
-    return e.groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", stamp("w.start").alias("start"), "n")
+    """Sessions of users with a gap of six hours, from a stream that gives all of them after each batch."""
+    out = streams.drained(streams.sessions(streams.source(spark, folder)), "complete")
+    return out.select("user_id", stamp("start").alias("start"), "n")
 
 
 J2 = "with m as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end as fresh from events), r as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as run from m) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from r group by user_id, run"
@@ -580,6 +584,7 @@ for _name in ("a02_parquet", "a10_csv", "a11_json"):
     QUERIES[_name] = (lambda q: lambda spark, folder: q(spark, folder).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("mbrstartdt", "mbrenddt", "recdt")}))(QUERIES[_name])
 _MEMBERSHIP = "select mbr_id, permno, strftime(mbrstartdt, '%Y-%m-%d') as mbrstartdt, strftime(mbrenddt, '%Y-%m-%d') as mbrenddt, strftime(recdt, '%Y-%m-%d') as recdt from membership"
 SQL = dense_sql.SQL | {
-    "i50_registry": I50, "i77_bootstrap_means": I77, "i106_intervals": I106, "a02_parquet": _MEMBERSHIP, "a10_csv": _MEMBERSHIP, "a11_json": _MEMBERSHIP, "a13_numbers": A13, "i100_numbers": I100,
+    "a12_jsonl": A12, "i101_chain": I101,
+    "i77_bootstrap_means": I77, "i106_intervals": I106, "a02_parquet": _MEMBERSHIP, "a10_csv": _MEMBERSHIP, "a11_json": _MEMBERSHIP, "a13_numbers": A13, "i100_numbers": I100,
     "j1_tumbling": J1, "j1_sliding": J1_SLIDING, "j2_sessions": J2, "j4_online": J4, "j5_spells": J5,
 }

@@ -156,7 +156,7 @@ def b10_members(spark, folder):
     """Member spells that hold on each month's first rebalance date."""
     days = _dsf(spark, folder, "date").where("date is not null").groupBy(F.trunc("date", "month").alias("m")).agg(F.min("date").alias("date"))
     member = table(spark, folder, "membership")
-    return days.join(member, F.col("date").between(F.col("mbrstartdt"), F.col("mbrenddt"))).groupBy("date").agg(F.countDistinct("permno").alias("n_members"))
+    return panel.in_force(days, "date", member, "mbrstartdt", "mbrenddt").groupBy("date").agg(F.countDistinct("permno").alias("n_members"))
 
 
 B10 = """select date, count(distinct permno) as n_members from (select min(date) as date from dsf where date is not null group by date_trunc('month', date)) x
@@ -253,7 +253,7 @@ def c07_memberships(spark, folder):
     p = _panel(spark, folder)
     ends = _days(p).groupBy(F.last_day("date").alias("m")).agg(F.max("date").alias("date"))
     member = table(spark, folder, "membership")
-    live = ends.join(member, F.col("date").between(F.col("mbrstartdt"), F.col("mbrenddt")))
+    live = panel.in_force(ends, "date", member, "mbrstartdt", "mbrenddt")
     return live.groupBy("date").agg(F.countDistinct("permno").alias("n_members"), F.count("*").alias("n_spells"))
 
 
@@ -291,7 +291,7 @@ C11 = f"{WITH} select pos, date, coalesce(last_value(case when isnan(rf) then nu
 def c12_common(spark, folder):
     """Mean difference of two securities on the dates that both have, per pair of neighbours by permno."""
     p = _panel(spark, folder).where("ret is not null").select("permno", "pos", "ret")
-    nxt = p.select("permno").distinct().withColumn("other", F.lead("permno").over(Window.orderBy("permno"))).where("other is not null")
+    nxt = panel.following(p.select("permno").distinct(), "permno", "other")
     a = p.join(nxt, "permno")
     b = p.select(F.col("permno").alias("other"), "pos", F.col("ret").alias("ret2"))
     return a.join(b, ["other", "pos"]).groupBy("permno", "other").agg(F.count("*").alias("n"), F.round(F.avg(F.col("ret") - F.col("ret2")), 9).alias("diff"))

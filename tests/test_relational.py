@@ -177,7 +177,15 @@ def test_touch_log(tmp_path, spark):
     log.unlock("two")
     log.check()
     log.verify()
-    assert audit.chain_breaks(spark.read.json(str(tmp_path / "log.jsonl"))).count() == 0
+    read = lambda: spark.read.json(str(tmp_path / "log.jsonl"))
+    assert audit.chain_breaks(read(), audit.touch_hash()).count() == 0
+    log.unlock("a self-test", "selftest")
+    lines = (tmp_path / "log.jsonl").read_text().splitlines()
+    assert {r["provenance"]: r["n"] for r in audit.touches(read()).collect()}["selftest"] == 1
+    (tmp_path / "log.jsonl").write_text("\n".join([lines[0].replace('"reason": "', '"reason": "not '), *lines[1:]]) + "\n")  # changed, with its old hash
+    assert [r["kind"] for r in audit.chain_breaks(read(), audit.touch_hash()).collect()] == ["content"]
+    (tmp_path / "log.jsonl").write_text("\n".join(lines[1:]) + "\n")  # the first is gone
+    assert [r["kind"] for r in audit.chain_breaks(read(), audit.touch_hash()).collect()] == ["link"]
     lines = log.path.read_text().splitlines()
     log.path.write_text(lines[1] + "\n")
     with pytest.raises(ValueError):
