@@ -7,6 +7,8 @@ kept as arrays on one row per rebalance.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -106,42 +108,59 @@ def labelled(shared: DataFrame) -> DataFrame:
 WEIGHTS = "strategy string, pos bigint, permno bigint, w double, refit boolean"
 
 
-def strategy_weights(shared: DataFrame, refits: DataFrame, strategies: dict[str, tuple[str, str]]) -> DataFrame:
-    """strategy, pos, permno, w, refit.
+def carried_trees(shared: DataFrame, refits: DataFrame, policies: dict[str, str]) -> DataFrame:
+    """strategy, pos, leaves (the leaf order in force, as places among the assets of the date), refit.
 
-    ``refits``: pos, fired. Each strategy walks its rebalances in order in a
-    task of its own, since a tree once fitted is carried to the next.
+    ``refits``: pos, fired. Only leaf orders, labels and coordinates are walked
+    in order, in a task a strategy, as a tree once fitted is carried to the next.
     """
-    spark = shared.sparkSession
-    table = spark.createDataFrame([(n, a, p) for n, (a, p) in strategies.items()], "strategy string, allocator string, policy string")
-    rows = shared.join(refits.select("pos", "fired"), "pos", "left").withColumn("__one", F.lit(1)).join(F.broadcast(table.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    table = shared.sparkSession.createDataFrame(list(policies.items()) or [("", "")], "strategy string, policy string").where("policy <> ''")
+    rows = shared.select("pos", "n", "permnos", "leaf", "labels", "features").join(refits.select("pos", "fired"), "pos", "left").join(F.broadcast(table))  # a handful of strategies
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        allocator, policy, name = pdf["allocator"].iloc[0], pdf["policy"].iloc[0], pdf["strategy"].iloc[0]
         tree: list[int] = []
         labels: dict[int, int] = {}
         since, out = 0, []
-        for row in pdf.itertuples():
+        for row in pdf.sort_values("pos").itertuples():
             assets = [int(a) for a in row.permnos]
-            n = len(assets)
-            cov = np.asarray(row.cov).reshape(n, n)
-            fit = False
-            if allocator.startswith("hrp"):
-                fit = not tree or (policy.startswith("periodic:") and since >= int(policy.split(":")[1])) or (policy == "trigger" and bool(row.fired))
-                if fit:
-                    order, since = [int(i) for i in row.leaf], 0
-                    tree, labels = [assets[i] for i in order], dict(zip(assets, map(int, row.labels)))
-                else:
-                    order, since = linalg.inherited_order(tree, labels, assets, np.asarray(row.features).reshape(n, -1))[0], since + 1
-                w = linalg.hierarchical_weights(cov, order, volatility=allocator == "hrp_equalvol")
-            elif allocator == "erc":
-                w = linalg.equal_risk_weights(cov)
-            elif allocator == "minvar":
-                w = linalg.least_variance_weights(cov)
+            fit = not tree or (row.policy.startswith("periodic:") and since >= int(row.policy.split(":")[1])) or (row.policy == "trigger" and bool(row.fired))
+            if fit:
+                order, since = [int(i) for i in row.leaf], 0
+                tree, labels = [assets[i] for i in order], dict(zip(assets, map(int, row.labels)))
             else:
-                w = np.full(n, 1 / n)
-            out.append(pd.DataFrame({"strategy": name, "pos": int(row.pos), "permno": assets, "w": w, "refit": fit}))
-        return pd.concat(out, ignore_index=True)
+                order, since = linalg.inherited_order(tree, labels, assets, np.asarray(row.features).reshape(len(assets), -1))[0], since + 1
+            out.append({"strategy": row.strategy, "pos": int(row.pos), "leaves": order, "refit": fit})
+        return pd.DataFrame(out)
+
+    return rows.groupBy("strategy").applyInPandas(walk, "strategy string, pos bigint, leaves array<int>, refit boolean")
+
+
+def strategy_weights(shared: DataFrame, refits: DataFrame, strategies: dict[str, tuple[str, str]]) -> DataFrame:
+    """strategy, pos, permno, w, refit.
+
+    Trees are carried first; then every rebalance is allocated on its own.
+    """
+    spark = shared.sparkSession
+    table = spark.createDataFrame([(n, a) for n, (a, _) in strategies.items()], "strategy string, allocator string")
+    trees = carried_trees(shared, refits, {n: p for n, (a, p) in strategies.items() if a.startswith("hrp")})
+    rows = shared.select("pos", "n", "permnos", "cov").join(F.broadcast(table)).join(trees, ["strategy", "pos"], "left")
+
+    def allocate(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples():
+                n = int(row.n)
+                cov = np.asarray(row.cov).reshape(n, n)
+                if row.allocator.startswith("hrp"):
+                    w = linalg.hierarchical_weights(cov, [int(i) for i in row.leaves], volatility=row.allocator == "hrp_equalvol")
+                elif row.allocator == "erc":
+                    w = linalg.equal_risk_weights(cov)
+                elif row.allocator == "minvar":
+                    w = linalg.least_variance_weights(cov)
+                else:
+                    w = np.full(n, 1 / n)
+                out.append(pd.DataFrame({"strategy": row.strategy, "pos": int(row.pos), "permno": np.asarray(row.permnos), "w": w, "refit": bool(row.refit) if row.refit is not None else False}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
 
-    return rows.groupBy("strategy").applyInPandas(walk, WEIGHTS)
+    return rows.mapInPandas(allocate, WEIGHTS)

@@ -479,29 +479,38 @@ def i01_panel(spark, folder):
 I01 = f"{WITH} select permno, pos, date, round(ret, 9) as ret, round(mcap, 4) as mcap from p"
 
 
-def _setting(spark, folder):
+def setting(spark, folder, rule: universe.UniverseRule, low: int, high: int | None):
+    """The panel, the spells as common shares, and the rebalances from ``low`` to ``high`` or to the last position."""
     p = cut(_panel(spark, folder))
     member = spells.periods(panel.common_shares(_names(spark, folder)), ["permno"], F.col("namedt"), F.coalesce("nameendt", F.lit(END).cast("date")), tolerance=5)
     member = member.select("permno", F.col("startdt").alias("mbrstartdt"), F.col("enddt").alias("mbrenddt"))
-    marks = universe.rebalances(_days(p), 250, 1700, RULE.every)
-    return p, member, marks
+    last = p.agg(F.coalesce(F.max("pos"), F.lit(0))).first()[0] if high is None else high
+    return p, member, universe.rebalances(_days(p), low, last, rule.every)
+
+
+def _setting(spark, folder):
+    return setting(spark, folder, RULE, 250, 1700)
 
 
-UNIVERSE = f"""
+def universe_sql(rule: universe.UniverseRule, low: int, high: int | str) -> str:
+    return f"""
 with {PANEL_SQL}, {_merged_sql('names', 'namedt', f'''coalesce(nameendt, date '{END}')''', 5, 'shrcd in (10, 11) and exchcd in (1, 2, 3)')},
-marks as (select pos, date from cal where pos between 250 and 1700 and (pos - 250) % {RULE.every} = 0),
+marks as (select pos, date from cal where pos between {low} and {high} and (pos - {low}) % {rule.every} = 0),
 ids as (select distinct permno from p),
 cand as (
   select ids.permno, marks.pos, marks.date,
     (select count(ret) from p where p.permno = ids.permno and p.pos <= marks.pos - 1) as history,
-    (select arg_max(mcap, p.pos) from p where p.permno = ids.permno and p.pos <= marks.pos - {RULE.cap_lag} and mcap is not null) as cap,
+    (select arg_max(mcap, p.pos) from p where p.permno = ids.permno and p.pos <= marks.pos - {rule.cap_lag} and mcap is not null) as cap,
     exists (select 1 from p where p.permno = ids.permno and p.pos = marks.pos and ret is not null) as alive
   from ids, marks where exists (select 1 from merged m where m.permno = ids.permno and marks.date between m.startdt and m.enddt)
-), elig as (select *, history >= {RULE.min_history} as seasoned, history >= {RULE.min_history} and alive as eligible from cand),
-snap as (select pos, date, row_number() over (partition by pos order by cap desc nulls last, permno) as rank, permno, cap from elig where eligible qualify rank <= {RULE.n_assets})
+), elig as (select *, history >= {rule.min_history} as seasoned, history >= {rule.min_history} and alive as eligible from cand),
+snap as (select pos, date, row_number() over (partition by pos order by cap desc nulls last, permno) as rank, permno, cap from elig where eligible qualify rank <= {rule.n_assets})
 """
 
 
+UNIVERSE = universe_sql(RULE, 250, 1700)
+
+
 def i06_snapshots(spark, folder):
     p, member, marks = _setting(spark, folder)
     return universe.snapshots(p, member, marks, RULE).select("pos", "date", "rank", "permno", F.round("cap", 4).alias("cap"))

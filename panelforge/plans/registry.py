@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.plans import block_queries, dealt, extra_queries, kernel_queries, panel_queries, window_queries
+from panelforge.plans import block_queries, chain_queries, dealt, extra_queries, kernel_queries, panel_queries, window_queries
 
-MODULES = [dealt, panel_queries, block_queries, kernel_queries, extra_queries, window_queries]
+MODULES = [dealt, panel_queries, block_queries, kernel_queries, extra_queries, window_queries, chain_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
