@@ -2,13 +2,16 @@
 
 Every task sorts what it holds into runs ordered by group, score and ties, of
 which only the first N of a group are kept (no more of them can ever be among
-the N best). Runs are bucketed by group, and the runs of a bucket are merged by
-a tree of losers; after N outputs every run seeks to its next group.
-
-Scale: what a task sends is at most N rows per group, so a group of millions of
-items is split over all tasks and is never in one. A run holds a stated number
-of rows. The order is total (score, then the ties), so results do not depend on
-how rows are spread.
+the N best). Runs are bucketed by group into as many partitions as the session
+shuffles into, and a bucket's runs are merged by a tree of losers; after N
+outputs every run seeks to its next group.
+
+Scale: what a task sends is at most N rows per group and run, so a group of
+millions of items is split over all tasks and is never in one. A bucket is
+merged as it is read, a stretch of rows at a time: of the group that a stretch
+ends in, its N best go on as one more run of the next, so no task holds more
+than a stretch, however many runs or groups there are. The order is total
+(score, then the ties), so results do not depend on how rows are spread.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from panelforge.functions.arrowgroups import complete_groups, integers, numbers, starts
+from panelforge.functions.arrowgroups import integers, numbers, starts
 
-#: Rows of a run before it is cut to N a group.
-RUN_ROWS = 500_000
+#: Rows of a run before it is cut to N a group, and of a stretch of a bucket that is merged at once.
+RUN_ROWS, STRETCH = 500_000, 65_536
 END = (float("inf"),)
 
 
@@ -93,7 +96,7 @@ def merge_runs(runs: list[list[tuple]], n: int) -> Iterator[tuple[tuple, int]]:
             tree.build()
 
 
-def _make_runs(n: int, ties: list[str], buckets: int):
+def _make_runs(n: int, ties: list[str]):
     names = ["group", "score", *ties]
 
     def cut(table: pa.Table, run: int) -> pa.RecordBatch:
@@ -103,9 +106,8 @@ def _make_runs(n: int, ties: list[str], buckets: int):
         cuts = starts(group[order])
         rank = np.arange(len(order)) - np.repeat(cuts[:-1], np.diff(cuts))
         keep = order[rank < n]
-        group = group[keep]
-        columns = [group % buckets, np.full(len(keep), run), group, score[keep], *(t[keep] for t in tied)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "run", *names])
+        columns = [np.full(len(keep), run), group[keep], score[keep], *(t[keep] for t in tied)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["run", *names])
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -122,23 +124,52 @@ def _make_runs(n: int, ties: list[str], buckets: int):
     return make
 
 
+def _stretches(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            yield pa.Table.from_batches(held)
+            held, count = [], 0
+    if count:
+        yield pa.Table.from_batches(held)
+
+
+def merged_stretches(stretches: Iterable[tuple[list[tuple], np.ndarray]], n: int) -> Iterator[list[tuple[tuple, int]]]:
+    """The first ``n`` rows of every group with their rank, from stretches of keys (group, -score, ties...) with the run of each.
+
+    Groups ascend over all stretches, and within a group and run keys ascend.
+    """
+    carried: list[tuple] = []  # the best so far of the group that the last stretch ended in
+    for rows, number in stretches:
+        order = np.argsort(number, kind="stable")
+        cuts = starts(number[order])
+        runs = [[rows[i] for i in order[a:b].tolist()] for a, b in zip(cuts[:-1], cuts[1:])]
+        out = list(merge_runs([carried, *runs], n))
+        last = rows[-1][0]
+        carried = [key for key, _ in out if key[0] == last]
+        yield [x for x in out if x[0][0] != last]
+    yield list(zip(carried, range(1, n + 1)))
+
+
 def _merge(n: int, ties: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in complete_groups(batches, ["bucket"], 1):
-            bucket, number = integers(table, "bucket"), integers(table, "run")
-            columns = [integers(table, "group").tolist(), (-numbers(table, "score")).tolist(), *(integers(table, t).tolist() for t in ties)]
-            rows = list(zip(*columns))
-            for a, b in zip((whole := starts(bucket))[:-1], whole[1:]):
-                cuts = starts(number[a:b]) + a
-                out = list(merge_runs([rows[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())], n))
-                keys = list(zip(*(k for k, _ in out)))
-                arrays = [pa.array(keys[0], pa.int64()), pa.array(-np.array(keys[1], dtype=np.float64)), *(pa.array(c, pa.int64()) for c in keys[2:]), pa.array([r for _, r in out], pa.int32())]
+        def keys():
+            for table in _stretches(batches, STRETCH):
+                columns = [integers(table, "group").tolist(), (-numbers(table, "score")).tolist(), *(integers(table, t).tolist() for t in ties)]
+                yield list(zip(*columns)), integers(table, "run")
+
+        for out in merged_stretches(keys(), n):
+            if out:
+                kept = list(zip(*(k for k, _ in out)))
+                arrays = [pa.array(kept[0], pa.int64()), pa.array(-np.array(kept[1], dtype=np.float64)), *(pa.array(c, pa.int64()) for c in kept[2:]), pa.array([r for _, r in out], pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["group", "score", *ties, "rank"])
 
     return run
 
 
-def top_n(items: DataFrame, group: str, score: str, ties: list[str], n: int, buckets: int = 64) -> DataFrame:
+def top_n(items: DataFrame, group: str, score: str, ties: list[str], n: int) -> DataFrame:
     """Per group the ``n`` items of highest score: group, score, ties, rank (1 to n).
 
     ``group`` and ``ties`` are integers; items of equal score come in ascending
@@ -148,7 +179,7 @@ def top_n(items: DataFrame, group: str, score: str, ties: list[str], n: int, buc
     held = items.select(F.col(group).cast("bigint").alias("group"), F.col(score).cast("double").alias("score"), *(F.col(t).cast("bigint").alias(t) for t in ties))
     held = held.where(F.col("group").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
     kinds = "group bigint, score double, " + ", ".join(f"{t} bigint" for t in ties)
-    runs = held.mapInArrow(_make_runs(n, ties, buckets), f"bucket bigint, run bigint, {kinds}")
-    order = [F.col("bucket"), F.col("run"), F.col("group"), F.col("score").desc(), *(F.col(t) for t in ties)]
-    merged = runs.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_merge(n, ties), f"{kinds}, rank int")
+    runs = held.mapInArrow(_make_runs(n, ties), f"run bigint, {kinds}")
+    order = [F.col("group"), F.col("run"), F.col("score").desc(), *(F.col(t) for t in ties)]
+    merged = runs.repartition("group").sortWithinPartitions(*order).mapInArrow(_merge(n, ties), f"{kinds}, rank int")
     return merged.select("group", "score", *(F.when(F.col(t) > -(1 << 62), F.col(t)).alias(t) for t in ties), "rank")

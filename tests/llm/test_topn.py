@@ -1,6 +1,8 @@
 import random
 
-from panelforge.llm.topn import LoserTree, merge_runs, top_n
+import numpy as np
+
+from panelforge.llm.topn import LoserTree, merge_runs, merged_stretches, top_n
 
 KIND = "g bigint, s double, a bigint, b bigint, run string"
 
@@ -14,7 +16,7 @@ def _want(rows, n):
 
 
 def _got(df, n):
-    return sorted(((r["group"], r["score"], r["a"], r["b"], r["rank"]) for r in top_n(df, "g", "s", ["a", "b"], n, buckets=3).collect()), key=str)
+    return sorted(((r["group"], r["score"], r["a"], r["b"], r["rank"]) for r in top_n(df, "g", "s", ["a", "b"], n).collect()), key=str)
 
 
 def test_equal_to_brute_force_with_ties_nulls_and_a_hot_group(spark):
@@ -42,3 +44,18 @@ def test_loser_tree_merges():
         seen = {}
         want = [x for x in flat if seen.setdefault(x[0], []).append(x) or len(seen[x[0]]) <= 2]
         assert [x for x, _ in merge_runs(runs, 2)] == want
+
+
+def test_stretches_that_cut_groups_and_runs(monkeypatch):
+    """However a bucket is cut into stretches, the rows are those of one merge."""
+    r = random.Random(3)
+    for _ in range(40):
+        rows = [(r.randrange(4), r.randrange(6), float(-r.randrange(30)), i) for i in range(r.randrange(1, 120))]  # group, run, -score, tie
+        rows.sort()
+        size, n = r.randrange(1, 40), r.randrange(1, 6)
+        cuts = [([(g, s, t) for g, _, s, t in rows[i : i + size]], np.array([u for _, u, _, _ in rows[i : i + size]])) for i in range(0, len(rows), size)]
+        got = [x for part in merged_stretches(cuts, n) for x in part]
+        flat, seen = sorted((g, s, t) for g, _, s, t in rows), {}
+        want = [(x, len(seen[x[0]])) for x in flat if seen.setdefault(x[0], []).append(x) or len(seen[x[0]]) <= n]
+        assert got == want
+    assert [x for part in merged_stretches([], 3) for x in part] == []
