@@ -6,11 +6,12 @@ time is cut into grid cells, and within a cell the plane is split into disjoint
 rectangles, each with the one record that counts there. An event then lies in
 one rectangle at most, and is located among those of its own cell.
 
-Scale: only rectangles that a probe can hit are indexed, those on the diagonal
-(known on the event's day) or on the upper edge (known today), so a cell has at
-most twice as many as it has days, even for an entity with a third of all
-records. Events move once, by (entity, cell): no entity is a single task. Equal
-rectangles are reduced to the highest id before they move.
+Scale: only what a probe can hit is indexed, on the diagonal (known on the
+event's day) or on the upper edge (known today). A record is cut to its days
+there, and of equal pieces of a cell only the last known moves, so a cell of n
+days has n (n + 1) pieces at most before the split and 2 n rectangles after it,
+even for an entity with a third of all records. Events move once, by (entity,
+cell): no entity is a single task.
 """
 
 from __future__ import annotations
@@ -119,11 +120,16 @@ def rectangle_index(records: DataFrame, entity: str, start: Column, end: Column,
     ).where("entity is not null and begun and v0 <= v1 and k0 < k1 and id is not null")
     cells = flat.withColumn("cell", F.explode(F.sequence(F.floor(F.col("v0") / cell_days).cast("int"), F.floor(F.col("v1") / cell_days).cast("int"))))
     edge = F.col("cell") * cell_days
+    low_, high_ = F.greatest("v0", edge), F.least("v1", edge + cell_days - 1)
+    # what a probe can hit of a record: on the diagonal the days on which it is both valid and known, today all its days
+    begin, end = F.greatest(low_, F.col("k0")), F.least(high_, F.col("k1") - 1)
+    hit = lambda a, b, k0, k1: F.struct(a.cast("int").alias("v0"), b.cast("int").alias("v1"), k0.cast("int").alias("k0"), k1.cast("int").alias("k1"))
+    probed = F.array_compact(F.array(F.when(begin <= end, hit(begin, end, begin, end + 1)), F.when(F.col("k1") > TODAY, hit(low_, high_, F.lit(TODAY), F.lit(TODAY + 1)))))
     clipped = (
-        cells.withColumn("v0", F.greatest("v0", edge))
-        .withColumn("v1", F.least("v1", edge + cell_days - 1))
-        .groupBy("entity", "cell", "v0", "v1", "k0", "k1", "known")
-        .agg(F.max("id").alias("id"))
+        cells.select("entity", "cell", "known", "id", F.explode(probed).alias("r"))
+        .groupBy("entity", "cell", F.col("r.v0").alias("v0"), F.col("r.v1").alias("v1"), F.col("r.k0").alias("k0"), F.col("r.k1").alias("k1"))
+        .agg(F.max(F.struct("known", "id")).alias("top"))
+        .select("entity", "cell", "v0", "v1", "k0", "k1", "top.known", "top.id")
         .repartition("entity", "cell")
         .sortWithinPartitions("entity", "cell")
     )
