@@ -673,25 +673,13 @@ seat as (select pos, permno, row_number() over (partition by pos order by permno
 QUERIES = {
     f.__name__: f
     for f in (
-        c14_pairs, i11_covariance, i12_linear, i14_weights, i15_effective, i16_weighted, i17_target, i18_intensity, i19_decayed, i20_equal_weights, i21_correlation, i28_distance, i23_edges, i32_rand, d10_contingency,
-        f01_top_by_lag, i34_equal, b05_history, b06_breadth, e16_every, i46_windows, i47_hold, i48_turnover, c10_aligned, i53_summary, i54_difference, i55_reconciliation, i40_tilt, e10_ranks, i35_hierarchical, i36_equal_volatility,
-        i38_contributions, i44_policies, e03_trailing, i104_masks, i68_overlap, c16_schedules, e06_gaps, i70_timing, i82_floor, c13_matched, i91_horizons, i71_shift, e17_autocorrelation, i72_block_length, i73_bootstrap,
+        i14_weights, i23_edges, i32_rand, d10_contingency,
+        f01_top_by_lag, i34_equal, b05_history, b06_breadth, e16_every, i46_windows, i47_hold, i48_turnover, c10_aligned, i53_summary, i54_difference, i55_reconciliation, i40_tilt, e10_ranks,         i44_policies, e03_trailing, i104_masks, i68_overlap, c16_schedules, e06_gaps, i70_timing, i82_floor, c13_matched, i91_horizons, i71_shift, e17_autocorrelation, i72_block_length, i73_bootstrap,
         i75_bounds, i76_controls, i93_gate, i105_rollup, i78_activation, i79_spearman, e11_average_rank, i74_holm, i57_folds, i58_leakage, f04_selection, f07_first_reaching, g03_sets, c15_grid, i62_shifted, i61_shuffled,
     )
 }
 SQL = {
-    "c14_pairs": f"with {RAW} select i, k, n, round(wab, 9) as xy from m",
-    "i11_covariance": f"with {S1} select i, k, round(s, 12) as s from s",
-    "i12_linear": I12,
     "i14_weights": f"select t, round((1 - {ALPHA}::double) / (1 - power({ALPHA}::double, {views.WINDOW})) * power({ALPHA}::double, {views.WINDOW - 1} - t), 12) as w from range({views.WINDOW}) r(t)",
-    "i15_effective": f"with {WX} select round(1 / sum(w * w), 9) as n_eff, round(sum(w), 9) as total from wx where i = 1",
-    "i16_weighted": f"with {EW} select i, k, round(s, 12) as s from s",
-    "i17_target": f"with {EW}, {TARGET} select i, k, round(f, 10) as f, round(rbar, 10) as rbar from f",
-    "i18_intensity": f"with {EW}, {TARGET}, {INTENSITY} select {', '.join(f'round({c}, 7) as {c}' for c in ('pi', 'rho', 'gamma', 'kappa', 'delta', 'n_eff', 'rbar'))} from it",
-    "i19_decayed": f"with {EW}, {TARGET}, {INTENSITY} select i, k, round((1 - delta) * s + delta * f, 10) as s from f, it",
-    "i20_equal_weights": I20,
-    "i21_correlation": f"with {CORR} select i, k, round(r, 9) as r from r",
-    "i28_distance": f"with {CORR} select i, k, round(case when i = k then 0 else sqrt(greatest(0.0::double, 0.5::double * (1 - r))) end, 8) as d from r",
     "i23_edges": "select days, round(power(1 + sqrt(100.0::double / days), 2), 9) as edge from (values (52), (104), (252), (504)) v(days)",
     "i32_rand": I32,
     "d10_contingency": "select label as a, vec_id % 10 as b, count(*) as n from embeddings group by 1, 2",
@@ -709,9 +697,6 @@ SQL = {
     "i55_reconciliation": I55,
     "i40_tilt": I40,
     "e10_ranks": f"with {HELD} select pos, permno, row_number() over (partition by pos order by cap, permno) - 1 as r from snap",
-    "i35_hierarchical": _bisection_sql(False),
-    "i36_equal_volatility": _bisection_sql(True),
-    "i38_contributions": f"with wts as ({_bisection_sql(False).replace('round(w / sum(w) over (), 9)', 'w / sum(w) over ()')}), {S1}, rc as (select s.i, sum(a.w * b.w * s.s) as rc from s join wts a on a.i = s.i join wts b on b.i = s.k group by s.i) select i, round(rc / sum(rc) over (), 8) as rc from rc",
     "i44_policies": I44,
     "e03_trailing": E03,
     "i104_masks": f"with {FIRED} select gamma, j from fired",
@@ -742,3 +727,20 @@ SQL = {
     "i62_shifted": I62,
     "i61_shuffled": I61,
 }
+#: SQL of the functions on one window of 13 assets, which are not registered.
+BLOCK_SQL = {
+    "c14_pairs": f"with {RAW} select i, k, n, round(wab, 9) as xy from m",
+    "i11_covariance": f"with {S1} select i, k, round(s, 12) as s from s",
+    "i12_linear": I12,
+    "i15_effective": f"with {WX} select round(1 / sum(w * w), 9) as n_eff, round(sum(w), 9) as total from wx where i = 1",
+    "i16_weighted": f"with {EW} select i, k, round(s, 12) as s from s",
+    "i17_target": f"with {EW}, {TARGET} select i, k, round(f, 10) as f, round(rbar, 10) as rbar from f",
+    "i18_intensity": f"with {EW}, {TARGET}, {INTENSITY} select {', '.join(f'round({c}, 7) as {c}' for c in ('pi', 'rho', 'gamma', 'kappa', 'delta', 'n_eff', 'rbar'))} from it",
+    "i19_decayed": f"with {EW}, {TARGET}, {INTENSITY} select i, k, round((1 - delta) * s + delta * f, 10) as s from f, it",
+    "i20_equal_weights": I20,
+    "i21_correlation": f"with {CORR} select i, k, round(r, 9) as r from r",
+    "i28_distance": f"with {CORR} select i, k, round(case when i = k then 0 else sqrt(greatest(0.0::double, 0.5::double * (1 - r))) end, 8) as d from r",
+    "i35_hierarchical": _bisection_sql(False),
+    "i36_equal_volatility": _bisection_sql(True),
+    "i38_contributions": f"with wts as ({_bisection_sql(False).replace('round(w / sum(w) over (), 9)', 'w / sum(w) over ()')}), {S1}, rc as (select s.i, sum(a.w * b.w * s.s) as rc from s join wts a on a.i = s.i join wts b on b.i = s.k group by s.i) select i, round(rc / sum(rc) over (), 8) as rc from rc",
+}

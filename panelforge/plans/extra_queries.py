@@ -211,10 +211,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         a04_first_readable, a08_synthetic, b07_region, c06_theta, d03_members, d07_moments, d08_modal_gap, d14_fractions, e05_eligible, e09_filled, e12_turnover, f05_smallest, g07_jaccard, h05_later, h08_rounding, h15_quantiles,
-        i17_exact_pairs, i51_sharpe, i52_drawdown,
+        i51_sharpe, i52_drawdown,
     )
 }
 SQL = {
     "a04_first_readable": "select 'dsf.parquet' as source", "b07_region": B07, "c06_theta": C06, "d03_members": D03, "d07_moments": D07, "d08_modal_gap": D08, "d14_fractions": D14, "e05_eligible": E05, "e09_filled": E09,
-    "e12_turnover": E12, "f05_smallest": F05, "g07_jaccard": G07, "h05_later": H05, "h08_rounding": H08, "h15_quantiles": H15, "i17_exact_pairs": I17B, "i51_sharpe": I51, "i52_drawdown": I52,
+    "e12_turnover": E12, "f05_smallest": F05, "g07_jaccard": G07, "h05_later": H05, "h08_rounding": H08, "h15_quantiles": H15, "i51_sharpe": I51, "i52_drawdown": I52,
 }

@@ -1,6 +1,7 @@
 """Moments and allocation of all assets over the window up to every rebalance, with their SQL.
 
-The queries of the same names without ``_all`` are one window of 13 assets.
+The functions of the same names in block_queries and extra_queries are one
+window of 13 assets, for tests by hand; these are the registered queries.
 """
 
 from __future__ import annotations
@@ -24,52 +25,52 @@ def _weighted(spark, folder) -> DataFrame:
     return moments.decay_weights(_x(spark, folder), ALPHA, views.WINDOW)
 
 
-def c14_pairs_all(spark, folder):
+def c14_pairs(spark, folder):
     return _r(moments.pair_moments(_x(spark, folder), BY).select("pos", "i", "k", "n", F.col("wab").alias("xy")), 9, "xy")
 
 
-def i11_covariance_all(spark, folder):
+def i11_covariance(spark, folder):
     return _r(moments.covariance(_x(spark, folder), BY), 12, "s")
 
 
-def i12_linear_all(spark, folder):
+def i12_linear(spark, folder):
     return _r(moments.linear_shrinkage(_x(spark, folder), BY), 10, "s", "shrink")
 
 
-def i15_effective_all(spark, folder):
+def i15_effective(spark, folder):
     return _r(moments.effective_size(_weighted(spark, folder), BY), 9, "n_eff", "total")
 
 
-def i16_weighted_all(spark, folder):
+def i16_weighted(spark, folder):
     return _r(moments.weighted_covariance(_weighted(spark, folder), BY), 12, "s")
 
 
-def i17_target_all(spark, folder):
+def i17_target(spark, folder):
     out = moments.constant_correlation(moments.weighted_covariance(_weighted(spark, folder), BY), BY)
     return _r(out.select("pos", "i", "k", "f", "rbar"), 10, "f", "rbar")
 
 
-def i18_intensity_all(spark, folder):
+def i18_intensity(spark, folder):
     return _r(moments.shrinkage_intensity(_weighted(spark, folder), BY), 7, "pi", "rho", "gamma", "kappa", "delta", "n_eff", "rbar")
 
 
-def i19_decayed_all(spark, folder):
+def i19_decayed(spark, folder):
     return _r(moments.decayed_shrinkage(_x(spark, folder), ALPHA, views.WINDOW, BY), 10, "s")
 
 
-def i20_equal_weights_all(spark, folder):
+def i20_equal_weights(spark, folder):
     return _r(moments.decayed_shrinkage(_x(spark, folder), 1.0, views.WINDOW, BY), 10, "s")
 
 
-def i21_correlation_all(spark, folder):
+def i21_correlation(spark, folder):
     return _r(moments.correlation(moments.covariance(_x(spark, folder), BY), BY), 9, "r")
 
 
-def i28_distance_all(spark, folder):
+def i28_distance(spark, folder):
     return _r(moments.correlation_distance(moments.covariance(_x(spark, folder), BY), BY), 8, "d")
 
 
-def i17_exact_pairs_all(spark, folder):
+def i17_exact_pairs(spark, folder):
     """Each asset's nearest other one in correlation, at every rebalance."""
     d = moments.correlation_distance(moments.covariance(_x(spark, folder), BY), BY).where("i <> k")
     return d.groupBy("pos", "i").agg(F.min(F.struct(F.round("d", 8).alias("d"), "k")).alias("x")).select("pos", "i", "x.k", "x.d")
@@ -86,15 +87,15 @@ def _bisected(s: DataFrame, volatility: bool = False) -> DataFrame:
     return reduce(DataFrame.unionByName, alone + each)
 
 
-def i35_hierarchical_all(spark, folder):
+def i35_hierarchical(spark, folder):
     return _r(_bisected(cut(moments.covariance(_x(spark, folder), BY))), 9, "w")
 
 
-def i36_equal_volatility_all(spark, folder):
+def i36_equal_volatility(spark, folder):
     return _r(_bisected(cut(moments.covariance(_x(spark, folder), BY)), volatility=True), 9, "w")
 
 
-def i38_contributions_all(spark, folder):
+def i38_contributions(spark, folder):
     s = cut(moments.covariance(_x(spark, folder), BY))
     return _r(allocation.risk_contributions(s, _bisected(s), BY), 8, "rc")
 
@@ -102,8 +103,8 @@ def i38_contributions_all(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        c14_pairs_all, i11_covariance_all, i12_linear_all, i15_effective_all, i16_weighted_all, i17_target_all, i18_intensity_all, i19_decayed_all, i20_equal_weights_all, i21_correlation_all, i28_distance_all,
-        i17_exact_pairs_all, i35_hierarchical_all, i36_equal_volatility_all, i38_contributions_all,
+        c14_pairs, i11_covariance, i12_linear, i15_effective, i16_weighted, i17_target, i18_intensity, i19_decayed, i20_equal_weights, i21_correlation, i28_distance,
+        i17_exact_pairs, i35_hierarchical, i36_equal_volatility, i38_contributions,
     )
 }
 _T = views.WINDOW
@@ -140,21 +141,21 @@ hw as (select pos, i, {digits} as w from wt)"""
 
 
 SQL = {
-    "c14_pairs_all": f"with {RAW} select pos, i, k, n, round(wab, 9) as xy from m",
-    "i11_covariance_all": f"with {S1} select pos, i, k, round(s, 12) as s from s",
-    "i12_linear_all": f"""with {S0}, tr as (select pos, sum(case when i = k then s end) / any_value(p) as mu, sum(s * s) as ss, any_value(p) as p from s group by pos), nq as (select pos, sum(q * q) as qq from (select pos, t, sum(c * c) as q from (select pos, t, x - avg(x) over (partition by pos, i) as c from xa) group by pos, t) group by pos),
+    "c14_pairs": f"with {RAW} select pos, i, k, n, round(wab, 9) as xy from m",
+    "i11_covariance": f"with {S1} select pos, i, k, round(s, 12) as s from s",
+    "i12_linear": f"""with {S0}, tr as (select pos, sum(case when i = k then s end) / any_value(p) as mu, sum(s * s) as ss, any_value(p) as p from s group by pos), nq as (select pos, sum(q * q) as qq from (select pos, t, sum(c * c) as q from (select pos, t, x - avg(x) over (partition by pos, i) as c from xa) group by pos, t) group by pos),
 sh as (select pos, mu, least((qq - {_T} * ss) / ({_T} * {_T}), ss - p * mu * mu) / (ss - p * mu * mu) as shrink from tr join nq using (pos))
 select pos, i, k, round(shrink * (case when i = k then mu else 0 end) + (1 - shrink) * s, 10) as s, round(shrink, 10) as shrink from s join sh using (pos)""",
-    "i15_effective_all": f"with {DECAYED} select pos, round(n_eff, 9) as n_eff, round(total, 9) as total from ne",
-    "i16_weighted_all": f"with {DECAYED} select pos, i, k, round(s, 12) as s from s",
-    "i17_target_all": f"with {DECAYED} select pos, i, k, round(f, 10) as f, round(rbar, 10) as rbar from f",
-    "i18_intensity_all": f"with {DECAYED} select pos, {', '.join(f'round({c}, 7) as {c}' for c in ('pi', 'rho', 'gamma', 'kappa', 'delta', 'n_eff', 'rbar'))} from it",
-    "i19_decayed_all": f"with {DECAYED} select pos, i, k, round((1 - delta) * s + delta * f, 10) as s from f join it using (pos)",
-    "i20_equal_weights_all": f"with {EVEN} select pos, i, k, round((1 - delta) * s + delta * f, 10) as s from f join it using (pos)",
-    "i21_correlation_all": f"with {CORR} select pos, i, k, round(r, 9) as r from r",
-    "i28_distance_all": f"with {CORR} select pos, i, k, round(case when i = k then 0 else sqrt(greatest(0.0::double, 0.5::double * (1 - r))) end, 8) as d from r",
-    "i17_exact_pairs_all": f"with {CORR}, dd as (select pos, i, k, round(sqrt(greatest(0.0::double, 0.5::double * (1 - r))), 8) as d from r where i <> k) select pos, i, k, d from dd qualify row_number() over (partition by pos, i order by d, k) = 1",
-    "i35_hierarchical_all": f"with {_halves(False)} select pos, i, w from hw",
-    "i36_equal_volatility_all": f"with {_halves(True)} select pos, i, w from hw",
-    "i38_contributions_all": f"with {_halves(False, 'w / sum(w) over (partition by pos)')}, rc as (select s.pos, s.i, sum(a.w * b.w * s.s) as rc from s join hw a on a.pos = s.pos and a.i = s.i join hw b on b.pos = s.pos and b.i = s.k group by s.pos, s.i) select pos, i, round(rc / sum(rc) over (partition by pos), 8) as rc from rc",
+    "i15_effective": f"with {DECAYED} select pos, round(n_eff, 9) as n_eff, round(total, 9) as total from ne",
+    "i16_weighted": f"with {DECAYED} select pos, i, k, round(s, 12) as s from s",
+    "i17_target": f"with {DECAYED} select pos, i, k, round(f, 10) as f, round(rbar, 10) as rbar from f",
+    "i18_intensity": f"with {DECAYED} select pos, {', '.join(f'round({c}, 7) as {c}' for c in ('pi', 'rho', 'gamma', 'kappa', 'delta', 'n_eff', 'rbar'))} from it",
+    "i19_decayed": f"with {DECAYED} select pos, i, k, round((1 - delta) * s + delta * f, 10) as s from f join it using (pos)",
+    "i20_equal_weights": f"with {EVEN} select pos, i, k, round((1 - delta) * s + delta * f, 10) as s from f join it using (pos)",
+    "i21_correlation": f"with {CORR} select pos, i, k, round(r, 9) as r from r",
+    "i28_distance": f"with {CORR} select pos, i, k, round(case when i = k then 0 else sqrt(greatest(0.0::double, 0.5::double * (1 - r))) end, 8) as d from r",
+    "i17_exact_pairs": f"with {CORR}, dd as (select pos, i, k, round(sqrt(greatest(0.0::double, 0.5::double * (1 - r))), 8) as d from r where i <> k) select pos, i, k, d from dd qualify row_number() over (partition by pos, i order by d, k) = 1",
+    "i35_hierarchical": f"with {_halves(False)} select pos, i, w from hw",
+    "i36_equal_volatility": f"with {_halves(True)} select pos, i, w from hw",
+    "i38_contributions": f"with {_halves(False, 'w / sum(w) over (partition by pos)')}, rc as (select s.pos, s.i, sum(a.w * b.w * s.s) as rc from s join hw a on a.pos = s.pos and a.i = s.i join hw b on b.pos = s.pos and b.i = s.k group by s.pos, s.i) select pos, i, round(rc / sum(rc) over (partition by pos), 8) as rc from rc",
 }
