@@ -140,32 +140,42 @@ def bootstrap_p(x: np.ndarray, fired: np.ndarray, length: int, times: int, rng:
     return float((1 + (kept - d >= d).sum()) / (len(kept) + 1)) if len(kept) else float("nan")
 
 
-def power_curve(spark: SparkSession, x: np.ndarray, masks: dict[float, np.ndarray], deltas: list[float], reps: int, times: int, length: int, base: int = 31, alpha: float = 0.05) -> DataFrame:
-    """target, delta, power, se: how often a planted shift is found after Holm over all masks.
+#: Where a shift is planted: at the positions of the target's mask, or at as many drawn anew for each replication.
+CONDITIONS = ("fired", "uniform")
+
+
+def power_curve(spark: SparkSession, x: np.ndarray, masks: dict[float, np.ndarray], deltas: list[float], reps: int, times: int, length: int, base: int = 31, alpha: float = 0.05, conditions: tuple[str, ...] = CONDITIONS) -> DataFrame:
+    """target, delta, condition, power, reps, se: how often a planted shift is found after Holm over all masks.
 
     Each replication resamples the path in blocks, plants ``delta`` where the
-    target's mask fires, tests all masks and adjusts their p-values.
+    target's mask fires or, in the condition 'uniform', at as many positions
+    drawn anew, tests all masks and adjusts their p-values.
     """
     shared = spark.sparkContext.broadcast((x, masks))
-    todo = [(t, d, r, base + int(t * 100) * 10**6 + int(d * 100) * 10**4 + r) for t in masks for d in deltas for r in range(reps)]
+    cells = [(t, d, c) for t in masks for d in deltas for c in conditions]
 
     def one(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path, sets = shared.value
         for pdf in frames:
             out = []
             for row in pdf.itertuples():
-                rng = np.random.default_rng(int(row.seed))
-                y = path[_blocks(len(path), length, rng, 1)[0]] + row.delta * sets[row.target]
+                rng = np.random.default_rng([base, int(row.target * 100), int(row.delta * 100), conditions.index(row.condition), int(row.rep)])
+                plant = sets[row.target]
+                if row.condition == "uniform":
+                    plant = rng.permutation(plant)
+                y = path[_blocks(len(path), length, rng, 1)[0]] + row.delta * plant
                 p = np.array([bootstrap_p(y, m, length, times, rng) for m in sets.values()])
                 order = np.argsort(p)
                 adjusted = np.maximum.accumulate(np.minimum(1, p[order] * np.arange(len(p), 0, -1)))
                 mine = list(sets).index(row.target)
-                out.append({"target": row.target, "delta": row.delta, "hit": float(adjusted[list(order).index(mine)] <= alpha)})
-            yield pd.DataFrame(out)
-
-    work = spark.createDataFrame(todo, "target double, delta double, rep int, seed bigint").transform(lambda g: over_cores(g, len(todo), "seed"))
-    cells = work.mapInPandas(one, "target double, delta double, hit double").groupBy("target", "delta").agg(F.avg("hit").alias("power"), F.count("*").alias("reps"))
-    return cells.withColumn("se", F.sqrt(F.col("power") * (1 - F.col("power")) / F.col("reps")))
+                out.append({"target": row.target, "delta": row.delta, "condition": row.condition, "hit": float(adjusted[list(order).index(mine)] < alpha)})
+            if out:
+                yield pd.DataFrame(out)
+
+    each = spark.createDataFrame(cells, "target double, delta double, condition string").crossJoin(spark.range(reps).withColumnRenamed("id", "rep"))  # a row a replication
+    work = over_cores(each, reps * len(cells), "target", "delta", "condition", "rep")
+    found = work.mapInPandas(one, "target double, delta double, condition string, hit double").groupBy("target", "delta", "condition").agg(F.avg("hit").alias("power"), F.count("*").alias("reps"))
+    return found.withColumn("se", F.sqrt(F.col("power") * (1 - F.col("power")) / F.col("reps")))
 
 
 def size_calibration(spark: SparkSession, size: int, rate: float, datasets: int, times: list[int], base: int = 47) -> DataFrame:

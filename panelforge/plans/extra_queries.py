@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.operators import panel, moments
+from panelforge.operators import moments, panel
 from panelforge.plans import block_queries, views
 from panelforge.plans.block_queries import FIRED, HELD, TRIG
 from panelforge.plans.panel_queries import PANEL_SQL, _panel
-from panelforge.sources import sinks, synthetic, table
+from panelforge.sources import sinks, synthetic, table, tables
 
 
 class RegionLocked(PermissionError):
@@ -29,6 +29,17 @@ def a04_first_readable(spark, folder):
     return spark.createDataFrame([(found.rsplit("/", 1)[1] if found else None,)], "source string")
 
 
+ASKED = [*tables.SCHEMAS, "msf", "lineitem", "orders", "events"]
+
+
+def a05_access(spark, folder):
+    """Which tables of the folder can be read."""
+    return spark.createDataFrame(sinks.access(spark, folder, ASKED), "tab string, status string")
+
+
+A05 = "select tab, case when table_name is null then 'NOT THERE' else 'READABLE' end as status from (values " + ", ".join(f"('{n}')" for n in ASKED) + ") a(tab) left join (select distinct table_name from information_schema.tables) t on table_name = tab"
+
+
 def a08_synthetic(spark, folder):
     """Rows, securities and deviations by year of generated tables."""
     made = synthetic.tables(spark, "2018-01-01", "2019-12-31", pool=60, index=30)
@@ -207,14 +218,45 @@ def i52_drawdown(spark, folder):
 I52 = f"""with {views.P}, c as (select permno, pos, ret, sum(ln(1 + ret)) over (partition by permno order by pos rows unbounded preceding) as w from p where ret is not null), f as (select *, exp(w - max(w) over (partition by permno order by pos rows unbounded preceding)) - 1 as fall from c)
 select permno, round(min(fall), 7) as max_drawdown, round((exp(sum(ln(1 + ret)) * 52 / count(*)) - 1) / abs(min(fall)), 6) as calmar from f group by permno"""
 
+def h09_masked(spark, folder):
+    """Sums of quotients and logs by flag, those that do not exist counted as 0."""
+    lines = table(spark, folder, "lineitem", "l_returnflag", "l_tax", "l_discount")
+    quotient, log = F.try_divide("l_tax", "l_discount"), F.when(F.col("l_tax") > 0, F.ln("l_tax"))
+    masked = lambda c: F.nanvl(F.coalesce(c, F.lit(0.0)), F.lit(0.0))
+    return lines.groupBy("l_returnflag").agg(F.round(F.sum(masked(quotient)), 4).alias("quotients"), F.round(F.sum(masked(log)), 4).alias("logs"), F.count_if(quotient.isNull()).alias("undefined"))
+
+
+H09 = "select l_returnflag, round(sum(case when l_discount = 0 then 0 else l_tax / l_discount end), 4) as quotients, round(sum(case when l_tax > 0 then ln(l_tax) else 0 end), 4) as logs, count(*) filter (where l_discount = 0) as undefined from lineitem group by 1"
+
+
+def h11_inserted(spark, folder):
+    """The lines of each order, with a 0 put in behind the dearest."""
+    lines = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice")
+    own = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_linenumber").cast("int"))).alias("held"), F.max_by(F.col("l_linenumber").cast("int"), F.struct("l_extendedprice", -F.col("l_linenumber"))).alias("dear"))
+    return own.select("l_orderkey", F.array_join(F.array_insert("held", F.array_position("held", F.col("dear")).cast("int") + 1, F.lit(0)), ",").alias("held"))
+
+
+H11 = """select l_orderkey, array_to_string(list_concat(list_concat(held[1:spot], [0]), held[spot + 1:]), ',') as held
+from (select l_orderkey, held, list_position(held, dear) as spot from (select l_orderkey, list(l_linenumber order by l_linenumber) as held, arg_max(l_linenumber, (l_extendedprice, -l_linenumber)) as dear from lineitem group by 1))"""
+
+
+def h13_json(spark, folder):
+    """Membership spells as JSON with sorted keys, and its hash."""
+    m = table(spark, folder, "membership", "mbr_id", "permno", "mbrstartdt")
+    body = F.to_json(F.struct("mbr_id", F.date_format("mbrstartdt", "yyyy-MM-dd").alias("mbrstartdt"), "permno"), {"ignoreNullFields": "false"})
+    return m.select("mbr_id", body.alias("body"), F.sha2(body, 256).alias("hash"))
+
+
+H13 = """select mbr_id, body, sha256(body) as hash from (select mbr_id, '{"mbr_id":' || mbr_id || ',"mbrstartdt":' || coalesce('"' || strftime(mbrstartdt, '%Y-%m-%d') || '"', 'null') || ',"permno":' || coalesce(permno::varchar, 'null') || '}' as body from membership)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
-        a04_first_readable, a08_synthetic, b07_region, c06_theta, d03_members, d07_moments, d08_modal_gap, d14_fractions, e05_eligible, e09_filled, e12_turnover, f05_smallest, g07_jaccard, h05_later, h08_rounding, h15_quantiles,
+        a04_first_readable, a05_access, a08_synthetic, h09_masked, h11_inserted, h13_json, b07_region, c06_theta, d03_members, d07_moments, d08_modal_gap, d14_fractions, e05_eligible, e09_filled, e12_turnover, f05_smallest, g07_jaccard, h05_later, h08_rounding, h15_quantiles,
         i51_sharpe, i52_drawdown,
     )
 }
 SQL = {
-    "a04_first_readable": "select 'dsf.parquet' as source", "b07_region": B07, "c06_theta": C06, "d03_members": D03, "d07_moments": D07, "d08_modal_gap": D08, "d14_fractions": D14, "e05_eligible": E05, "e09_filled": E09,
+    "a04_first_readable": "select 'dsf.parquet' as source", "a05_access": A05, "h09_masked": H09, "h11_inserted": H11, "h13_json": H13, "b07_region": B07, "c06_theta": C06, "d03_members": D03, "d07_moments": D07, "d08_modal_gap": D08, "d14_fractions": D14, "e05_eligible": E05, "e09_filled": E09,
     "e12_turnover": E12, "f05_smallest": F05, "g07_jaccard": G07, "h05_later": H05, "h08_rounding": H08, "h15_quantiles": H15, "i51_sharpe": I51, "i52_drawdown": I52,
 }

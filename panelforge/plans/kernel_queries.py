@@ -335,7 +335,7 @@ def i83_size(spark, folder):
 
 
 def i84_power(spark, folder):
-    """Power of the tests of all candidates by planted shift."""
+    """Power of the tests of all candidates by planted shift and by where it is planted."""
     x, fired = _structure(spark, folder)
     masks = {0.5: fired, 1.0: np.roll(fired, 1), 2.0: np.roll(fired, 2)}
     return replications.power_curve(spark, x, masks, [0.0, 0.5, 2.0], POWER_REPS, POWER_TIMES, 3)
@@ -344,9 +344,9 @@ def i84_power(spark, folder):
 def i85_bracket(spark, folder):
     """The first planted shift with a power of 0.8, and the one before."""
     cells = i84_power(spark, folder)
-    before = F.lag("delta").over(Window.partitionBy("target").orderBy("delta"))
+    before = F.lag("delta").over(Window.partitionBy("target", "condition").orderBy("delta"))
     reached = cells.withColumn("below", before).where("power >= 0.8")
-    return reached.groupBy("target").agg(F.min_by("below", "delta").alias("below"), F.min("delta").alias("reached"))
+    return reached.groupBy("target", "condition").agg(F.min_by("below", "delta").alias("below"), F.min("delta").alias("reached"))
 
 
 def _structural_pass(spark, folder):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.streaming.events import shared_folder
 
@@ -35,3 +35,17 @@ def first_readable(spark, paths: list[str]) -> str | None:
         except Exception:  # noqa: BLE001
             continue
     return None
+
+
+def access(spark: SparkSession, folder: str, names: list[str]) -> list[tuple[str, str]]:
+    """(name, status) of each table of a folder: READABLE, NOT THERE, NO ACCESS or ERROR, told by reading one row."""
+    out = []
+    for name in names:
+        try:
+            spark.read.parquet(f"{folder}/{name}.parquet").limit(1).collect()
+            status = "READABLE"
+        except Exception as e:  # noqa: BLE001
+            told = str(e)
+            status = "NOT THERE" if "PATH_NOT_FOUND" in told else "NO ACCESS" if "ermission denied" in told or "AccessControl" in told else "ERROR"
+        out.append((name, status))
+    return out

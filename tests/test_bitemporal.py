@@ -65,3 +65,22 @@ def test_empty(spark):
     index = B.rectangle_index(rf, "permno", F.col("a"), F.col("b"), F.col("k"), F.col("w"), "id", ["code"], (N0, N0 + 9))
     assert [x["x_then"] for x in B.as_known(ef, "permno", "date", {"x": index}).collect()] == [None]
     assert B.as_known(ef.limit(0), "permno", "date", {"x": index}).collect() == []
+
+
+def test_a_hot_cell_is_small_before_it_is_split(spark):
+    """Thousands of records of one entity and cell leave a bounded number of pieces, and the same answers."""
+    r = random.Random(4)
+    n, cell = 3000, 8
+    recs = [(i, 1, r.randrange(8), r.randrange(8), r.randrange(-2000, 12), r.choice([None, r.randrange(-1990, 40)])) for i in range(n)]
+    day = lambda x: None if x is None else D0 + dt.timedelta(days=x)
+    low = (N0 // cell + 1) * cell - N0  # a cell begins here
+    rf = spark.createDataFrame([(i, e, day(low + a), day(low + b), day(low + k), day(None if w is None else low + w)) for i, e, a, b, k, w in recs], "id bigint, permno bigint, a date, b date, k date, w date")
+    index = B.rectangle_index(rf, "permno", F.col("a"), F.col("b"), F.col("k"), F.col("w"), "id", [], (N0 + low, N0 + low + 7), cell_days=cell)
+    assert all(len(x["rects"]) <= 2 * cell for x in index.collect())
+    ef = spark.createDataFrame([(d, 1, day(low + d)) for d in range(8)], "obs_id bigint, permno bigint, date date")
+    for x in B.as_known(ef, "permno", "date", {"x": index}, cell_days=cell).collect():
+        d = x["obs_id"]
+        then = [(k, i) for i, _, a, b, k, w in recs if a <= d <= b and k <= d and (w is None or w > d)]
+        now = [(k, i) for i, _, a, b, k, w in recs if a <= d <= b and w is None]
+        for have, want in ((x["x_then"], then), (x["x_now"], now)):
+            assert (None if have is None else have["id"]) == (max(want)[1] if want else None)

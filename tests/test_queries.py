@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no tables")
 duckdb = pytest.importorskip("duckdb")
 NAMES = [
     "p1_rolling", "p2_found", "p4_found", "p4_report", "p4_state", "p5_found", "p5_asof", "p7_found", "c01_splice", "c04_crosswalk", "d16_coverage", "e08_spells", "i01_panel", "i12_linear", "i18_intensity", "i35_hierarchical", "i68_overlap",
-    "i75_bounds", "i74_holm", "i77_bootstrap_means", "j1_sliding", "j4_online",
+    "i75_bounds", "i74_holm", "i77_bootstrap_means", "j1_sliding", "j4_online", "i29_clusters", "i37_equal_risk", "i43_ar_trigger", "i49_daily", "i49_moves", "h13_json", "a05_access", "i101_chain", "j2_sessions",
 ]
 
 
