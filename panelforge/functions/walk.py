@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -35,20 +36,28 @@ STRATEGIES = {
 }
 
 
-@dataclass
 class Estimate:
-    """What all strategies share at a rebalance."""
+    """What all strategies share at a rebalance; its tree is made when a strategy fits one."""
 
-    at: int
-    assets: np.ndarray
-    cov: np.ndarray
-    spectrum: linalg.Spectrum
-    order: list[int]
-    labels: np.ndarray
+    def __init__(self, at: int, assets: np.ndarray, cov: np.ndarray, spectrum: linalg.Spectrum, clusters: tuple[int, int]):
+        self.at, self.assets, self.cov, self.spectrum, self.clusters = at, assets, cov, spectrum, clusters
+
+    @cached_property
+    def tree(self) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+        distance = linalg.euclidean(self.spectrum.features())
+        return distance, linalg.agglomerate(distance)
+
+    @cached_property
+    def order(self) -> list[int]:
+        return linalg.optimal_order(*self.tree)
+
+    @cached_property
+    def labels(self) -> np.ndarray:
+        return linalg.cut_tree(len(self.assets), self.tree[1], int(np.clip(self.spectrum.k, *self.clusters)))
 
 
 def estimates(returns: np.ndarray, rule: Rule) -> list[Estimate]:
-    """One covariance, spectrum and tree per rebalance; assets that lack more than 5 % of the window are out."""
+    """One covariance and spectrum per rebalance; assets that lack more than 5 % of the window are out."""
     out = []
     for t in range(rule.first, len(returns), rule.every):
         block = returns[t - rule.window + 1 : t + 1]
@@ -57,11 +66,7 @@ def estimates(returns: np.ndarray, rule: Rule) -> list[Estimate]:
         if len(block) < rule.window or len(assets) < 10:
             continue
         cov = linalg.ESTIMATORS[rule.estimator](np.where(ok, block, 0.0)[:, assets])
-        spectrum = linalg.Spectrum(cov, rule.window, k=rule.k)
-        distance = linalg.euclidean(spectrum.features())
-        merges = linalg.agglomerate(distance)
-        n = int(np.clip(spectrum.k, *rule.clusters))
-        out.append(Estimate(t, assets, cov, spectrum, linalg.optimal_order(distance, merges), linalg.cut_tree(len(assets), merges, n)))
+        out.append(Estimate(t, assets, cov, linalg.Spectrum(cov, rule.window, k=rule.k), rule.clusters))
     return out
 
 

@@ -23,7 +23,7 @@ def holding_windows(marks: DataFrame, by: list[str], lag: int, last: int) -> Dat
 def grown(weights: DataFrame, windows: DataFrame, panel: DataFrame, rates: DataFrame, by: list[str]) -> DataFrame:
     """Per held asset and day: its value (from its weight), the value of cash, and whether it still trades."""
     held = weights.join(windows, [*by, "pos"]).withColumn("day", F.explode(F.sequence("start", "end")))
-    days = held.join(panel.select("permno", F.col("pos").alias("day"), "ret"), ["permno", "day"], "left").join(F.broadcast(rates.select(F.col("pos").alias("day"), "rf")), "day", "left")
+    days = held.join(panel.select("permno", F.col("pos").alias("day"), "ret"), ["permno", "day"], "left").join(rates.select(F.col("pos").alias("day"), "rf"), "day", "left")
     run = Window.partitionBy(*by, "pos", "permno").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     rate = F.coalesce("rf", F.lit(0.0))
     gone = F.max(F.col("ret").isNull().cast("int")).over(run)

@@ -99,7 +99,7 @@ def block_bootstrap(rows: DataFrame, n: int, length: int, replicates: int, seed:
     draws = spark.range(replicates).select(F.col("id").alias("b")).withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
     start = F.pmod(hashed(F.lit(seed), F.col("b").cast("string"), F.col("block").cast("string")), F.lit(n))
     picks = draws.withColumn("start", start).withColumn("o", F.explode(F.expr(f"sequence(0L, {length - 1}L)"))).where(F.col("block") * length + F.col("o") < n)
-    sampled = picks.select("b", F.pmod(F.col("start") + F.col("o"), F.lit(n)).alias("t")).join(F.broadcast(rows.select("t", "x", "fired")), "t")
+    sampled = picks.select("b", F.pmod(F.col("start") + F.col("o"), F.lit(n)).alias("t")).join(rows.select("t", "x", "fired"), "t")
     shifts = median_shift(sampled, ["b"]).where("d is not null").select(F.col("d").alias("d_b"))
     whole = median_shift(rows.withColumn("one", F.lit(1)), ["one"]).first()
     d = whole["d"] if whole else None

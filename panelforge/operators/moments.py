@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.session import cut
+
 
 def pair_moments(x: DataFrame, by: list[str] = (), weight: str | None = None) -> DataFrame:
     """Per pair i, k the weighted sums of 1, x_i, x_k and x_i x_k (weights 1 unless named)."""
@@ -47,7 +49,7 @@ def linear_shrinkage(x: DataFrame, by: list[str] = ()) -> DataFrame:
     d2 = F.col("ss") - F.col("n") * F.col("mu") ** 2
     b2 = F.least((F.col("qq") - F.col("days") * F.col("ss")) / F.col("days") ** 2, d2)
     both = both.withColumn("shrink", F.when(d2 > 0, b2 / d2).otherwise(0.0))
-    out = one(s).join(F.broadcast(both.select(*key, "mu", "shrink")), key)
+    out = one(s).join(both.select(*key, "mu", "shrink"), key)
     target = F.when(F.col("i") == F.col("k"), F.col("mu")).otherwise(0.0)
     return out.select(*by, "i", "k", (F.col("shrink") * target + (1 - F.col("shrink")) * F.col("s")).alias("s"), "shrink")
 
@@ -99,23 +101,29 @@ def constant_correlation(s: DataFrame, by: list[str] = ()) -> DataFrame:
     key = by or ["__one"]
     both = both if by else both.withColumn("__one", F.lit(1))
     mean = both.groupBy(*key).agg(F.coalesce(F.avg(F.when(F.col("i") != F.col("k"), F.col("s") / F.col("g"))), F.lit(0.0)).alias("rbar"))
-    out = both.join(F.broadcast(mean), key)
+    out = both.join(mean, key)
     return out.select(*by, "i", "k", "s", "s_ii", "s_kk", F.when(F.col("i") == F.col("k"), F.col("s")).otherwise(F.col("rbar") * F.col("g")).alias("f"), "rbar")
 
 
-def shrinkage_intensity(x: DataFrame, by: list[str] = ()) -> DataFrame:
-    """pi, rho, gamma, kappa, delta, n_eff and rbar of weighted rows, in moment form.
-
-    pi_ik is the weighted mean of y_i^2 y_k^2 less s_ik^2, and theta_ik that of
-    y_i^3 y_k less s_ii s_ik, so no array over days and pairs is made.
-    """
+def weighted_sums(x: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Pairs with the weighted means of y_i y_k (s), of its square (q) and of y_i^3 y_k (c), in one pass over days and pairs."""
     by = list(by)
     own = Window.partitionBy(*by, "i")
     y = x.withColumn("x", F.col("x") - F.sum(F.col("w") * F.col("x")).over(own))
     left = y.select(*by, "t", "i", F.col("x").alias("a"), "w")
     right = y.select(*by, "t", F.col("i").alias("k"), F.col("x").alias("b"))
     a, b, w = F.col("a"), F.col("b"), F.col("w")
-    sums = left.join(right, [*by, "t"]).groupBy(*by, "i", "k").agg(F.sum(w * a * b).alias("s"), F.sum(w * a**2 * b**2).alias("q"), F.sum(w * a**3 * b).alias("c"))
+    return left.join(right, [*by, "t"]).groupBy(*by, "i", "k").agg(F.sum(w * a * b).alias("s"), F.sum(w * a**2 * b**2).alias("q"), F.sum(w * a**3 * b).alias("c"))
+
+
+def shrinkage_intensity(x: DataFrame, by: list[str] = (), sums: DataFrame | None = None) -> DataFrame:
+    """pi, rho, gamma, kappa, delta, n_eff and rbar of weighted rows, in moment form.
+
+    pi_ik is the weighted mean of y_i^2 y_k^2 less s_ik^2, and theta_ik that of
+    y_i^3 y_k less s_ii s_ik, so no array over days and pairs is made.
+    """
+    by = list(by)
+    sums = cut(weighted_sums(x, by)) if sums is None else sums  # a row a pair, read four times below
     target = constant_correlation(sums.select(*by, "i", "k", "s"), by)
     both = target.join(sums.select(*by, "i", "k", "q", "c"), [*by, "i", "k"])
     pi = F.col("q") - F.col("s") ** 2
@@ -138,11 +146,12 @@ def decayed_shrinkage(x: DataFrame, alpha: float, days: int, by: list[str] = ())
     """Exponentially weighted covariance shrunk to equal correlations."""
     by = list(by)
     weighted = decay_weights(x, alpha, days)
-    delta = shrinkage_intensity(weighted, by).select(*by, "delta")
-    target = constant_correlation(weighted_covariance(weighted, by), by)
+    sums = cut(weighted_sums(weighted, by))
+    delta = shrinkage_intensity(weighted, by, sums).select(*by, "delta")
+    target = constant_correlation(sums.select(*by, "i", "k", "s"), by)
     key = by or ["__one"]
     one = (lambda d: d) if by else (lambda d: d.withColumn("__one", F.lit(1)))
-    out = one(target).join(F.broadcast(one(delta)), key)
+    out = one(target).join(one(delta), key)
     return out.select(*by, "i", "k", ((1 - F.col("delta")) * F.col("s") + F.col("delta") * F.col("f")).alias("s"))
 
 

@@ -33,7 +33,7 @@ def candidates(panel: DataFrame, members: DataFrame, marks: DataFrame, rule: Uni
     """
     at = [int(r["pos"]) for r in marks.select("pos").collect()]  # a few hundred positions
     dates = marks.select(F.col("pos"), F.col("date"))
-    grid = panel.select("permno").distinct().withColumn("pos", F.explode(F.array(*(F.lit(x).cast("bigint") for x in at)))).join(F.broadcast(dates), "pos").select("permno", "pos", "date")
+    grid = panel.select("permno").distinct().withColumn("pos", F.explode(F.array(*(F.lit(x).cast("bigint") for x in at)))).join(dates, "pos").select("permno", "pos", "date")
     up_to = Window.partitionBy("permno").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     seen = panel.select("permno", F.col("pos").alias("at"), F.lit(0).alias("kind"), "ret", "mcap", F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("date").alias("date"))
     none = F.lit(None).cast("double")
