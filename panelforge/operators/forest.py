@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 
-TREES, SAMPLE, DEPTH = 24, 128, 7
+TREES, SAMPLE, DEPTH = 20, 128, 6
 #: The height of a box; what lies beyond is as odd as it gets.
 ROOM = 25.0
 
@@ -59,17 +59,19 @@ def scores(features: np.ndarray, cuts: np.ndarray, keys: np.ndarray, drawn: np.n
     lacking = np.add.reduceat(drawn.astype(np.int64), cuts[:-1]) == 0
     pool = np.flatnonzero(drawn | lacking[source])
     first = np.searchsorted(pool, cuts)
-    base, flat, at_row = mixed(keys.astype(np.uint64)), np.ascontiguousarray(features).ravel(), np.arange(n) * width
-    longest = expected_path(np.arange(SAMPLE + 1))
-    total = np.zeros(n)
+    base, flat, at_row = mixed(keys.astype(np.uint64)), np.ascontiguousarray(features, dtype=np.float32).ravel(), (np.arange(n) * width).astype(np.int32 if n * width < 1 << 31 else np.int64)
+    longest = expected_path(np.arange(SAMPLE + 1)).astype(np.float32)
+    origin = (source * inner).astype(np.int32 if sources * nodes < 1 << 31 else np.int64)
+    leaves = 1 << DEPTH
+    total = np.zeros(n, dtype=np.float32)
     for t in range(1, TREES + 1):
         with np.errstate(over="ignore"):
             tree = mixed(base + np.uint64(t * 1_000_003))
             draw = unit(mixed(tree[:, None] + np.arange(1, SAMPLE + 1, dtype=np.uint64) * np.uint64(7_919)))
             chance = mixed(tree[:, None] + np.arange(1, inner + 1, dtype=np.uint64) * np.uint64(104_729))
-        feature, place = (chance % np.uint64(width)).astype(np.int64), unit(mixed(chance))
-        split = np.empty((sources, inner))
-        low, high = np.zeros((nodes, sources, width)), np.full((nodes, sources, width), ROOM)
+        feature, place = (chance % np.uint64(width)).astype(np.int32), unit(mixed(chance))
+        split = np.empty((sources, inner), dtype=np.float32)
+        low, high = np.zeros((nodes, sources, width), dtype=np.float32), np.full((nodes, sources, width), ROOM, dtype=np.float32)
         for node in range(inner):
             f = feature[:, node]
             a, b = low[node, each, f], high[node, each, f]
@@ -78,16 +80,19 @@ def scores(features: np.ndarray, cuts: np.ndarray, keys: np.ndarray, drawn: np.n
                 low[child], high[child] = low[node], high[node]
             high[2 * node + 1, each, f] = at
             low[2 * node + 2, each, f] = at
-        sample = pool[(first[:-1, None] + draw * np.diff(first)[:, None]).astype(np.int64)].ravel()
-        f, s, origin = feature.ravel(), split.ravel(), source * inner
-        node, path, open_ = np.zeros(n, dtype=np.int64), np.zeros(n), np.ones(n, dtype=bool)
-        for depth in range(1, DEPTH + 1):
+        f, s = feature.ravel(), split.ravel()
+        node = np.zeros(n, dtype=origin.dtype)
+        for _ in range(DEPTH):
             here = origin + node
             node = 2 * node + 1 + (flat[at_row + f[here]] > s[here])
-            cell = source * nodes + node
-            count = np.bincount(cell[sample], minlength=sources * nodes)[cell]
-            ends = open_ & ((count <= 1) | (depth == DEPTH))
-            path[ends] = depth + longest[count[ends]]
-            open_ &= ~ends
-        total += path
+        leaf = source * leaves + (node - inner)
+        # how full the leaves are, and from them the nodes above; a path ends at the first node with one sampled row or none
+        sample = pool[(first[:-1, None] + draw * np.diff(first)[:, None]).astype(np.int64)].ravel()
+        full = np.bincount(leaf[sample], minlength=sources * leaves).reshape(sources, leaves)
+        path = DEPTH + longest[full]
+        for depth in range(DEPTH - 1, 0, -1):
+            wide = full.reshape(sources, 1 << depth, -1).sum(axis=2)
+            over = np.repeat(wide, leaves >> depth, axis=1)
+            path = np.where(over <= 1, np.float32(depth), path)
+        total += path.ravel()[leaf]
     return np.exp2(-total / TREES / float(longest[-1]))

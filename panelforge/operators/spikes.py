@@ -32,7 +32,7 @@ from panelforge.session import cut
 
 BLOCK_DAYS, MARGIN_DAYS = 1096, 90
 #: The score from which a reading is odd for its source and is checked.
-SUSPECT = 0.48
+SUSPECT = 0.5
 #: The least size of a change, in logs, that counts as usual.
 TINY = 0.01
 #: Rows of a source and block from which its deliveries are judged in several parts.

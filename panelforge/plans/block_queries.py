@@ -14,7 +14,8 @@ from panelforge.sources import table
 
 ALPHA, N = 0.98, 13
 RULE = universe.UniverseRule(n_assets=views.ASSETS, min_history=views.HISTORY, cap_lag=views.LAG, every=views.EVERY)
-LOW, HIGH = 104, 350
+LOW = 104
+LAST = "(select max(pos) from p)"
 BLOCK = block_sql()
 
 
@@ -130,20 +131,20 @@ def d10_contingency(spark, folder):
 
 
 # the universe and what is held ---------------------------------------------------------------------
-def _universe(spark, folder, whole: bool = False):
-    """Panel, members and rebalances, to the position that the SQL states or, if ``whole``, to the panel's last."""
+def _universe(spark, folder):
+    """Panel, members and rebalances to the panel's last position."""
     p = cut(views.asset_panel(spark, folder))  # assets by weeks, read by every branch below
     members = p.select("permno").distinct().select("permno", F.lit("1990-01-01").cast("date").alias("mbrstartdt"), F.lit("2030-01-01").cast("date").alias("mbrenddt"))
-    marks = universe.rebalances(p.select("pos", "date").distinct(), LOW, views.last_position(p) if whole else HIGH, views.EVERY)
+    marks = universe.rebalances(p.select("pos", "date").distinct(), LOW, views.last_position(p), views.EVERY)
     return p, members, marks
 
 
-def _snapshot(spark, folder, whole: bool = False):
-    p, members, marks = _universe(spark, folder, whole)
+def _snapshot(spark, folder):
+    p, members, marks = _universe(spark, folder)
     return p, marks, cut(universe.snapshots(p, members, marks, RULE))
 
 
-HELD = f"""{P}, marks as (select distinct pos, date from p where pos between {LOW} and {HIGH} and (pos - {LOW}) % {views.EVERY} = 0), names1 as (select distinct permno from p),
+HELD = f"""{P}, marks as (select distinct pos, date from p where pos >= {LOW} and (pos - {LOW}) % {views.EVERY} = 0), names1 as (select distinct permno from p),
 cand as (select n.permno, m.pos, m.date, (select count(ret) from p where p.permno = n.permno and p.pos <= m.pos - 1) as history, (select arg_max(mcap, p.pos) from p where p.permno = n.permno and p.pos <= m.pos - {views.LAG} and mcap is not null) as cap,
   exists (select 1 from p where p.permno = n.permno and p.pos = m.pos and ret is not null) as alive from names1 n, marks m),
 snap as (select pos, date, row_number() over (partition by pos order by cap desc nulls last, permno) as rank, permno, cap from cand where history >= {views.HISTORY} and alive qualify rank <= {views.ASSETS})"""
@@ -167,7 +168,7 @@ def b05_history(spark, folder):
     return seen.groupBy("pos", "permno").agg(F.avg(F.col("ret").isNotNull().cast("double")).alias("share")).where("share >= 0.95").select("pos", "permno", F.round("share", 9).alias("share"))
 
 
-B05 = f"with {HELD} select pos, permno, round(share, 9) as share from (select s.pos, s.permno, avg(case when p.ret is null then 0.0::double else 1.0::double end) as share from snap s join range({HIGH + 1}) g(wk) on g.wk between s.pos - {views.WINDOW - 1} and s.pos left join p on p.permno = s.permno and p.pos = g.wk group by 1, 2) where share >= 0.95"
+B05 = f"with {HELD} select pos, permno, round(share, 9) as share from (select s.pos, s.permno, avg(case when p.ret is null then 0.0::double else 1.0::double end) as share from snap s join (select distinct pos as wk from p) g on g.wk between s.pos - {views.WINDOW - 1} and s.pos left join p on p.permno = s.permno and p.pos = g.wk group by 1, 2) where share >= 0.95"
 
 
 def b06_breadth(spark, folder):
@@ -187,7 +188,7 @@ def _daily(spark, folder):
     weights = cut(even.unionByName(tilt))
     every = marks.select("pos").withColumn("strategy", F.explode(F.array(F.lit("even"), F.lit("tilt"))))
     rates = p.select("pos").distinct().withColumn("rf", F.lit(0.02 / views.YEAR))
-    daily, moves = backtest.run(weights, every, p, rates, ["strategy"], lag=1, last=356, bps=10.0)
+    daily, moves = backtest.run(weights, every, p, rates, ["strategy"], lag=1, last=views.last_position(p), bps=10.0)
     return p, weights, daily.withColumn("rf", F.lit(0.02 / views.YEAR)), moves, every
 
 
@@ -196,25 +197,25 @@ WEIGHTS = f"""{HELD}, w as (
   select 'even' as strategy, pos, permno, 1.0::double / count(*) over (partition by pos) as w from snap
   union all
   select 'tilt', pos, permno, 0.5::double / count(*) over (partition by pos) + 0.5::double * (r - 1) / sum(r - 1) over (partition by pos) from (select *, row_number() over (partition by pos order by cap, permno) as r from snap)
-), win as (select strategy, pos, pos + 1 as start, coalesce(lead(pos) over (partition by strategy order by pos) , 356) as "end" from marks, (values ('even'), ('tilt')) st(strategy)),
+), win as (select * from (select strategy, pos, pos + 1 as start, coalesce(lead(pos) over (partition by strategy order by pos) , {LAST}) as "end" from marks, (values ('even'), ('tilt')) st(strategy)) where start <= "end"),
 hold as (select w.strategy, w.pos, start, "end", g.day, w.permno, w.w, p.ret, max(case when p.ret is null then 1 else 0 end) over run as gone
-  from w join win using (strategy, pos) join range(357) g(day) on g.day between start and "end" left join p on p.permno = w.permno and p.pos = g.day window run as (partition by w.strategy, w.pos, w.permno order by g.day rows unbounded preceding)),
+  from w join win using (strategy, pos) join (select distinct pos as day from p) g on g.day between start and "end" left join p on p.permno = w.permno and p.pos = g.day window run as (partition by w.strategy, w.pos, w.permno order by g.day rows unbounded preceding)),
 val as (select *, w * product(case when gone = 1 then 1 + {RF} else 1 + ret end) over run as value, product(1 + {RF}) over run as cash from hold window run as (partition by strategy, pos, permno order by day rows unbounded preceding)),
 tot as (select strategy, pos, start, day, sum(value) + (1 - sum(w)) * max(cash) as total from val group by 1, 2, 3, 4),
 gr as (select *, total / coalesce(lag(total) over (partition by strategy, pos order by day), 1) - 1 as gross from tot),
 drift as (select v.strategy, v.pos, v.permno, case when gone = 1 then 0 else value / total end as w from val v join tot using (strategy, pos, day) where v.day = v."end"),
-old as (select d.strategy, n.next as pos, permno, w as was from drift d join (select strategy, pos, lead(pos) over (partition by strategy order by pos) as next from win) n using (strategy, pos) where next is not null),
-mv as (select coalesce(w.strategy, old.strategy) as strategy, coalesce(w.pos, old.pos) as pos, sum(abs(coalesce(w, 0) - coalesce(was, 0))) as dw from w full join old on w.strategy = old.strategy and w.pos = old.pos and w.permno = old.permno group by 1, 2),
+old as (select d.strategy, n.next as pos, permno, w as was from drift d join (select strategy, pos, lead(pos) over (partition by strategy order by pos) as next from marks, (values ('even'), ('tilt')) st(strategy)) n using (strategy, pos) where next is not null),
+mv as (select coalesce(w.strategy, old.strategy) as strategy, coalesce(w.pos, old.pos) as pos, sum(abs(coalesce(w, 0) - coalesce(was, 0))) as dw from w full join old on w.strategy = old.strategy and w.pos = old.pos and w.permno = old.permno where coalesce(w.pos, old.pos) in (select pos from win) group by 1, 2),
 daily as (select gr.*, case when day = start then (1 + gross) * (1 - dw * 10 / 1e4::double) - 1 else gross end as net from gr join mv using (strategy, pos))
 """
 
 
 def i46_windows(spark, folder):
-    marks = _universe(spark, folder)[2].select(F.lit("all").alias("strategy"), "pos")
-    return backtest.holding_windows(marks, ["strategy"], 1, 356).drop("strategy")
+    p, _, marks = _universe(spark, folder)
+    return backtest.holding_windows(marks.select(F.lit("all").alias("strategy"), "pos"), ["strategy"], 1, views.last_position(p)).drop("strategy")
 
 
-I46 = f"""with {HELD} select pos, pos + 1 as start, coalesce(lead(pos) over (order by pos), 356) as "end" from marks"""
+I46 = f"""with {HELD} select * from (select pos, pos + 1 as start, coalesce(lead(pos) over (order by pos), {LAST}) as "end" from marks) where start <= "end\""""
 
 
 def i47_hold(spark, folder):
@@ -360,12 +361,17 @@ def i104_masks(spark, folder):
     return _triggers(spark, folder)
 
 
+def eligible(spark, folder) -> int:
+    """Positions at which the trigger can fire: those with a known sigma."""
+    return trigger.trigger_inputs(views.total_value(spark, folder), ["run"]).where("sigma is not null").count()
+
+
 def i68_overlap(spark, folder):
-    return _r(inference.schedule_overlap(_triggers(spark, folder), ["gamma"], 350), 9, "j_star")
+    return _r(inference.schedule_overlap(_triggers(spark, folder), ["gamma"], eligible(spark, folder)), 9, "j_star")
 
 
 I68 = f"""with {FIRED}, t as (select gamma, count(*) as n from fired group by gamma), ph as (select gamma, q, j % q as r, count(*) as c from fired, range(2, 13) s(q) group by all),
-jc as (select gamma, q, r, c::double / (n + floor((350 - 1 - r) / q::double) + 1 - c) as jac from ph join t using (gamma))
+jc as (select gamma, q, r, c::double / (n + floor(((select count(*) from tr where sigma is not null) - 1 - r) / q::double) + 1 - c) as jac from ph join t using (gamma))
 select gamma, round(jac, 9) as j_star, cast(q as integer) as q, cast(r as integer) as r from jc qualify row_number() over (partition by gamma order by jac desc, q, r) = 1"""
 
 
@@ -390,10 +396,10 @@ mo as (select gamma, max(c)::double / sum(c) as modal from (select gamma, gap, c
 def i82_floor(spark, folder):
     """The least modal share that so many positions allow."""
     n = _triggers(spark, folder).groupBy("gamma").agg(F.count("*").alias("n")).where("n > 1")
-    return n.select("gamma", "n", F.round(F.greatest(F.lit(0), 2 * F.col("n") - 350 - 1) / (F.col("n") - 1), 9).alias("floor"))
+    return n.select("gamma", "n", F.round(F.greatest(F.lit(0), 2 * F.col("n") - eligible(spark, folder) - 1) / (F.col("n") - 1), 9).alias("floor"))
 
 
-I82 = f"with {FIRED} select gamma, count(*) as n, round(greatest(0, 2 * count(*) - 351)::double / (count(*) - 1), 9) as floor from fired group by gamma having count(*) > 1"
+I82 = f"with {FIRED} select gamma, count(*) as n, round(greatest(0, 2 * count(*) - (select count(*) from tr where sigma is not null) - 1)::double / (count(*) - 1), 9) as floor from fired group by gamma having count(*) > 1"
 
 
 # structural change: quartiles of value as labels ---------------------------------------------------
@@ -650,11 +656,11 @@ C15 = "select rep, target::double as target, cond, delta::double as delta, cast(
 def i62_shifted(spark, folder):
     """A signal panel moved by 100 positions around the calendar, the missing cells kept."""
     p = views.asset_panel(spark, folder)
-    moved = p.select("permno", F.pmod(F.col("pos") + 100, F.lit(357)).alias("pos"), F.col("ret").alias("signal"))
+    moved = p.select("permno", F.pmod(F.col("pos") + 100, F.lit(views.last_position(p) + 1)).alias("pos"), F.col("ret").alias("signal"))
     return p.where("ret is not null").join(moved, ["permno", "pos"]).select("permno", "pos", "signal")
 
 
-I62 = f"with {P} select a.permno, a.pos, b.ret as signal from p a join p b on b.permno = a.permno and (b.pos + 100) % 357 = a.pos where a.ret is not null"
+I62 = f"with {P} select a.permno, a.pos, b.ret as signal from p a join p b on b.permno = a.permno and (b.pos + 100) % ({LAST} + 1) = a.pos where a.ret is not null"
 
 
 def i61_shuffled(spark, folder):

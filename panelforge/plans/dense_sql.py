@@ -7,7 +7,7 @@ row. All texts are fragments of one WITH RECURSIVE clause.
 from __future__ import annotations
 
 from panelforge.plans import views
-from panelforge.plans.block_queries import HELD, HIGH
+from panelforge.plans.block_queries import HELD
 
 #: Sweeps over all pairs of rows; they converge quadratically from the third or so.
 SWEEPS = 6
@@ -36,7 +36,7 @@ def jacobi(name: str, source: str) -> str:
 
 
 #: The windows of the shared pass: pos, permno, i (from 0), n, t, x; a security that lacks more than 5 % is out, and a date with fewer than 10.
-SHARED = f"""{HELD.replace(f"pos between {views.WINDOW} and {HIGH}", f"pos >= {views.WINDOW}")},
+SHARED = f"""{HELD},
 win as (select s.pos, s.permno, g.t, p.ret from snap s cross join range({views.WINDOW}) g(t) left join p on p.permno = s.permno and p.pos = s.pos - {views.WINDOW - 1} + g.t),
 kept as (select pos, permno, row_number() over (partition by pos order by permno) - 1 as i, count(*) over (partition by pos) as n from (select pos, permno from win group by 1, 2 having count(ret) >= 0.95 * {views.WINDOW}) qualify n >= 10),
 x as (select pos, i, n, t, coalesce(ret, 0) as x from win join kept using (pos, permno))"""

@@ -117,12 +117,12 @@ E05 = f"with {TRIG} select pos, row_number() over (order by pos) - 1 as j from t
 def e09_filled(spark, folder):
     """Market values carried forward over missing weeks, of every security and week."""
     p = views.asset_panel(spark, folder)
-    grid = p.select("permno").distinct().withColumn("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(356).cast("bigint"))))
+    grid = p.select("permno").distinct().withColumn("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(views.last_position(p)).cast("bigint"))))
     w = Window.partitionBy("permno").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(p.select("permno", "pos", "mcap"), ["permno", "pos"], "left").select("permno", "pos", F.round(F.last("mcap", ignorenulls=True).over(w), 4).alias("mcap"))
 
 
-E09 = f"with {views.P}, g as (select permno, g.pos from (select distinct permno from p), range(357) g(pos)) select permno, pos, round(last_value(mcap ignore nulls) over (partition by permno order by pos rows unbounded preceding), 4) as mcap from g left join p using (permno, pos)"
+E09 = f"with {views.P}, g as (select permno, g.pos from (select distinct permno from p), (select distinct pos from p) g) select permno, pos, round(last_value(mcap ignore nulls) over (partition by permno order by pos rows unbounded preceding), 4) as mcap from g left join p using (permno, pos)"
 
 
 def e12_turnover(spark, folder):

@@ -26,7 +26,7 @@ EIGHT = ["gaussian", "shuffle", "timing", "regimes", "slow_regimes", "static"]
 
 
 def _shared(spark: SparkSession, folder: str, estimator: str = "nls", space: str = "pca", k: int | None = None):
-    p, marks, snap = _snapshot(spark, folder, whole=True)
+    p, marks, snap = _snapshot(spark, folder)
     return p, marks, estimation.shared_pass(estimation.windows(p, snap, views.WINDOW), views.WINDOW, estimator, k, space=space)
 
 
@@ -249,7 +249,7 @@ def i96_contrast(spark, folder):
 
 def i94_control(spark, folder):
     """A tilt to coming returns of rising strength: its edge over equal weights must rise too."""
-    p, marks, snap = _snapshot(spark, folder, whole=True)
+    p, marks, snap = _snapshot(spark, folder)
     last = views.last_position(p)
     win = backtest.holding_windows(marks.select(F.lit(0).alias("run"), "pos"), ["run"], 1, last).drop("run")
     seg = snap.select("pos", "permno").join(win, "pos").withColumn("day", F.explode(F.sequence("start", "end"))).join(p.select("permno", F.col("pos").alias("day"), "ret"), ["permno", "day"], "left")
@@ -270,25 +270,20 @@ def _counts(spark, folder) -> list[int]:
     return [r["n"] for r in _triggers(spark, folder).groupBy("gamma").agg(F.count("*").cast("int").alias("n")).orderBy("gamma").collect()]  # four candidates
 
 
-def _eligible(spark, folder) -> int:
-    """Positions at which the trigger can fire: those with a known sigma."""
-    return trigger.trigger_inputs(views.total_value(spark, folder), ["run"]).where("sigma is not null").count()
-
-
 def i69_placebo(spark, folder):
     """The overlap that random positions reach in 95 of 100 draws, at each candidate's number of events."""
-    return replications.placebo_threshold(spark, _eligible(spark, folder), _counts(spark, folder), DRAWS)
+    return replications.placebo_threshold(spark, block_queries.eligible(spark, folder), _counts(spark, folder), DRAWS)
 
 
 def i80_density(spark, folder):
     """Median and range of the modal gap share of random positions."""
-    return replications.modal_share(spark, _eligible(spark, folder), _counts(spark, folder), draws=PLACEMENTS)
+    return replications.modal_share(spark, block_queries.eligible(spark, folder), _counts(spark, folder), draws=PLACEMENTS)
 
 
 def i81_burstiness(spark, folder):
     """Modal share less that of as many random positions, and whether it lies outside their range."""
     timing = inference.timing_variation(_triggers(spark, folder), ["gamma"]).withColumn("events", (F.col("n_gaps") + 1).cast("int"))
-    null = replications.modal_share(spark, _eligible(spark, folder), _counts(spark, folder), draws=PLACEMENTS).distinct()
+    null = replications.modal_share(spark, block_queries.eligible(spark, folder), _counts(spark, folder), draws=PLACEMENTS).distinct()
     kind = F.when(F.col("modal") > F.col("high"), "above").when(F.col("modal") < F.col("low"), "below").otherwise("inside")
     return timing.join(null, "events").select("gamma", "events", "modal", "m", (F.col("modal") - F.col("m")).alias("excess"), kind.alias("class"))
 

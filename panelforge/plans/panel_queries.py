@@ -489,7 +489,7 @@ def setting(spark, folder, rule: universe.UniverseRule, low: int, high: int | No
 
 
 def _setting(spark, folder):
-    return setting(spark, folder, RULE, 250, 1700)
+    return setting(spark, folder, RULE, 250, None)
 
 
 def universe_sql(rule: universe.UniverseRule, low: int, high: int | str) -> str:
@@ -508,7 +508,7 @@ snap as (select pos, date, row_number() over (partition by pos order by cap desc
 """
 
 
-UNIVERSE = universe_sql(RULE, 250, 1700)
+UNIVERSE = universe_sql(RULE, 250, "(select max(pos) from cal)")
 
 
 def i06_snapshots(spark, folder):

@@ -24,6 +24,6 @@ def test_eligible_positions_follow_the_calendar(spark, monkeypatch):
 
 
 def test_rebalances_reach_the_end_of_the_panel(spark):
-    p, marks, _ = block_queries._snapshot(spark, str(FOLDER), whole=True)
+    p, marks, _ = block_queries._snapshot(spark, str(FOLDER))
     last = views.last_position(p)
     assert last - views.EVERY < max(r["pos"] for r in marks.collect()) <= last
