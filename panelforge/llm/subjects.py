@@ -36,7 +36,7 @@ from panelforge.session import cut
 #: Hashed features, and numbers of an embedding.
 FEATURES, WIDTH = 1 << 15, 24
 #: Labelled examples of a subject, and documents of the sample, on which the model is fitted; shards of the training rows.
-PER_SUBJECT, SAMPLE_DOCS, SHARDS = 2_000, 12_000, 8
+PER_SUBJECT, SAMPLE_DOCS, SHARDS = 2_000, 9_000, 8
 #: Passes over the training rows from each labelling of the sample to the next.
 PASSES = (4, 4, 4)
 #: Probability from which a sentence is on a subject, and share of such sentences that makes it a document's.
@@ -127,7 +127,7 @@ class Weights:
                 order_flat = np.argsort(flat, kind="stable")
                 ids = flat[order_flat]
                 first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-                summed = np.add.reduceat(np.repeat(back, n, axis=0)[order_flat], first, axis=0)
+                summed = np.add.reduceat(back[np.repeat(np.arange(len(at)), n)[order_flat]], first, axis=0)
                 touched = ids[first]
                 self.embedding_steps[touched] += (summed**2).mean(axis=1, keepdims=True)
                 self.embedding[touched] -= rate * summed / np.sqrt(self.embedding_steps[touched])
