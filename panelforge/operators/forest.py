@@ -95,4 +95,4 @@ def scores(features: np.ndarray, cuts: np.ndarray, keys: np.ndarray, drawn: np.n
             over = np.repeat(wide, leaves >> depth, axis=1)
             path = np.where(over <= 1, np.float32(depth), path)
         total += path.ravel()[leaf]
-    return np.exp2(-total / TREES / float(longest[-1]))
+    return np.exp2(-total.astype(np.float64) / TREES / float(longest[-1]))
