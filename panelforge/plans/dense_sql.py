@@ -10,7 +10,7 @@ from panelforge.plans import views
 from panelforge.plans.block_queries import HELD
 
 #: Sweeps over all pairs of rows; they converge quadratically from the third or so.
-SWEEPS = 6
+SWEEPS = 8
 
 
 def jacobi(name: str, source: str) -> str:
